@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, host_rules
+from . import exact_dedup, host_rules, language_id, packing, token_orc, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": language_id.op1_language_id,
+        "op2_packing": packing.op2_packing,
         "op3_host_rules": host_rules.op3_host_rules,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+        "op6_warc": warc.op6_warc,
+        "op9_token_orc": token_orc.op9_token_orc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_host_rules": host_rules.OP3_SQL, "op5_exact_dedup": exact_dedup.OP5_SQL}
+    return {
+        "op3_host_rules": host_rules.OP3_SQL,
+        "op5_exact_dedup": exact_dedup.OP5_SQL,
+        "op6_warc": warc.OP6_SQL,
+    }
