@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, host_rules, language_id, packing, token_orc, warc
+from . import exact_dedup, host_rules, language_id, mixing, packing, token_orc, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_language_id": language_id.op1_language_id,
         "op2_packing": packing.op2_packing,
         "op3_host_rules": host_rules.op3_host_rules,
+        "op4_mixing": mixing.op4_mixing,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_warc": warc.op6_warc,
         "op9_token_orc": token_orc.op9_token_orc,
