@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, host_rules, language_id, mixing, packing, token_orc, warc
+from . import exact_dedup, host_rules, language_id, minhash, mixing, packing, token_orc, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_warc": warc.op6_warc,
         "op9_token_orc": token_orc.op9_token_orc,
+        "op10_minhash": minhash.op10_minhash,
     }
 
 
