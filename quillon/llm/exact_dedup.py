@@ -30,6 +30,12 @@ def text_digest(text: Column) -> Column:
     return F.sha2(F.regexp_replace(F.coalesce(text, F.lit("")), WS, " "), 256)
 
 
+def raw_digest(text: Column) -> Column:
+    """SHA-256, in lowercase hex, of the text as it is, a colon and its length in bytes; null counts as empty."""
+    text = F.coalesce(text, F.lit(""))
+    return F.concat_ws(":", F.sha2(text, 256), F.octet_length(text))
+
+
 def _cells(bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64("sha", F.lit(k + 1)), F.lit(bits)) for k in range(PROBES)]
 
@@ -77,22 +83,22 @@ def exact_groups(narrow: DataFrame, rows: int, bits_per_row: int = 16, filter_bi
     return out
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sizes) -> DataFrame:
-    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("sha")).withColumn("rid", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("sha"))
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=text_digest, **sizes) -> DataFrame:
+    """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
+    narrow = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("sha")).withColumn("rid", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("sha"))
     narrow = materialize(narrow, "exact-narrow", sort=["h"])
     found = exact_groups(narrow, count_rows(narrow), **sizes)
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, filter_bits: int = 1 << 26) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, filter_bits: int = 1 << 26, digest=text_digest) -> DataFrame:
     """`docs` with one row of each group of equal texts: the smallest id, nulls last.
 
     Flagged rows are combined to the winner before they shuffle, so a hot group costs one row a task;
     unflagged rows, texts included, never shuffle. For more rows than one filter serves, slices follow
     each other over the hash space.
     """
-    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), text_digest(F.col(text_col)).alias("sha")).withColumn("h", F.xxhash64("sha"))
+    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("sha")).withColumn("h", F.xxhash64("sha"))
     rows = docs.count()
     n, bits = _slices(rows, bits_per_row, filter_bits)
     out = None
