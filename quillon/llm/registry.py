@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, host_rules, language_id, minhash, mixing, packing, suffix_dedup, token_orc, warc
+from . import backoff_lm, exact_dedup, host_rules, language_id, minhash, mixing, packing, suffix_dedup, token_orc, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": mixing.op4_mixing,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_warc": warc.op6_warc,
+        "op7_backoff_lm": backoff_lm.op7_backoff_lm,
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_token_orc": token_orc.op9_token_orc,
         "op10_minhash": minhash.op10_minhash,
