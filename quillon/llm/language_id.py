@@ -212,14 +212,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train([c for _, c in pairs], np.array([langs.index(lang) for lang, _ in pairs]), len(langs)), langs
 
 
-def predict(docs: DataFrame, net: GatedNet | None, langs: list[str], text_col: str = "text", chunk_chars: int = 1 << 20) -> DataFrame:
-    """`docs` with lang_pred and score appended."""
+def predict(docs: DataFrame, net: GatedNet | None, langs: list[str], text_col: str = "text", names_out: tuple[str, str] = ("lang_pred", "score"), chunk_chars: int = 1 << 20) -> DataFrame:
+    """`docs` with the predicted language and its score appended; columns of these names are replaced."""
     from .encode import in_chunks
 
     names, at = docs.columns, docs.columns.index(text_col)
-    fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", lang_pred string, score double"
-    keep = [k for k, c in enumerate(names) if c not in ("lang_pred", "score")]
+    fields = [f for f in docs.schema.fields if f.name not in names_out]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{names_out[0]}` string, `{names_out[1]}` double"
+    keep = [k for k, c in enumerate(names) if c not in names_out]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pooler = net and Pooler(net)
@@ -235,7 +235,7 @@ def predict(docs: DataFrame, net: GatedNet | None, langs: list[str], text_col: s
                     for k, row, c in zip([k for k, s in enumerate(some) if s], p, best, strict=True):
                         pred[k], score[k] = langs[c], float(min(1.0, row[c]))
                 out = [batch.column(k).slice(a, b - a) for k in keep]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*[names[k] for k in keep], "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*out, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*[names[k] for k in keep], *names_out])
 
     return docs.mapInArrow(judge, schema)
 
