@@ -13,11 +13,17 @@ import os
 import re
 from array import array
 
+import numpy as np
+
 #: Entries kept by one Python worker, about 200 bytes each; a full memo starts afresh.
 MEMO = 1 << 19
 
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _DOUBLE_SPACE = re.compile(r"\s (?:\s|\Z)")
+#: Letters that every Unicode version in use knows as letters.
+_LATIN = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+#: ASCII punctuation but the apostrophe and the underscore.
+_POINTS = re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^`{|}~")
 _ASCII_CUT = re.compile("[ \t\n\r\f\v]+")
 
 
@@ -41,7 +47,12 @@ def byte_units(text: str) -> list[str]:
 
 
 class Encoder:
-    """`encode(texts)` gives for each text its ids as little-endian unsigned 32-bit bytes."""
+    """`encode(texts)` gives for each text its ids as little-endian unsigned 32-bit bytes.
+
+    New units are encoded together: plain words are joined, encoded as one text and parted again
+    where a token ends a word (`word`) or begins with a space (`byte`); a plain word with a run of
+    punctuation behind it is two words of the tokenizer, each known by itself; other units go singly.
+    """
 
     def __init__(self, path: str, kind: str, memo: int = MEMO):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -49,18 +60,59 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.units = {"byte": byte_units, "word": word_units}[kind]
+        self.units, self.joint = {"byte": (byte_units, ""), "word": (word_units, " ")}[kind]
+        self.plain, self.pointed = (re.compile(p).fullmatch for p in ((f" [{_LATIN}]+", f"( [{_LATIN}]+)([{_POINTS}]+)") if kind == "byte" else (f"[{_LATIN}]+", f"([{_LATIN}]+)([{_POINTS}]+)")))
+        vocab = self.tokenizer.get_vocab()
+        self.edge = np.zeros(max(vocab.values()) + 1, bool)
+        self.edge[[i for t, i in vocab.items() if (t.startswith("\u0120") if kind == "byte" else t.endswith("</w>"))]] = True
+        self.ends = kind == "word"
         self.most, self.memo = memo, {}
 
+    def _single(self, units: list[str]) -> None:
+        for k in range(0, len(units), 4096):
+            part = units[k : k + 4096]
+            for unit, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.memo[unit] = array("I", e.ids).tobytes()
+
+    def _joined(self, units: list[str]) -> None:
+        for k in range(0, len(units), 512):
+            part = units[k : k + 512]
+            ids = np.array(self.tokenizer.encode(self.joint.join(part), add_special_tokens=False).ids, "<u4")
+            edges = np.flatnonzero(self.edge[ids])
+            if len(edges) != len(part):
+                self._single(part)
+                continue
+            cuts = (np.concatenate([[0], edges + 1] if self.ends else [edges, [len(ids)]]) * 4).tolist()
+            raw = ids.tobytes()
+            self.memo.update(zip(part, (raw[a:b] for a, b in zip(cuts, cuts[1:])), strict=True))
+
+    def learn(self, new: set[str]) -> None:
+        plain, single, pointed = set(), set(), []
+        for unit in new:
+            if self.plain(unit):
+                plain.add(unit)
+            elif m := self.pointed(unit):
+                pointed.append((unit, *m.groups()))
+            else:
+                single.add(unit)
+        memo = self.memo
+        for _, word, points in pointed:
+            if word not in memo:
+                plain.add(word)
+            if points not in memo:
+                single.add(points)
+        self._joined(list(plain))
+        self._single(list(single))
+        for unit, word, points in pointed:
+            memo[unit] = memo[word] + memo[points]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.units(t or "") for t in texts]
-        new = list(set().union(*cut).difference(self.memo))
+        every = set().union(*cut)
+        new = every.difference(self.memo)
         if len(self.memo) + len(new) > self.most:
-            self.memo, new = {}, list(set().union(*cut))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for unit, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[unit] = array("I", e.ids).tobytes()
+            self.memo, new = {}, every
+        self.learn(new)
         get = self.memo.__getitem__
         return [b"".join(map(get, units)) for units in cut]
 
