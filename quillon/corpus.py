@@ -32,10 +32,19 @@ class Meta:
     default_within: str | None = None
 
 
+#: Columns of a structure that are not its attributes.
+ROW = ("idx", "start", "end", "parent_idx")
+
+
 class CorpusError(ValueError):
     pass
 
 
+def stored(name: str) -> str:
+    """The column of an attribute: its own name, but for names that the tables use themselves."""
+    return f"attr:{name}" if name in (*CORE, *ROW) or name.startswith("r_") else name
+
+
 class Corpus:
     def __init__(self, tokens: DataFrame, structs: dict[str, DataFrame], meta: Meta, groups: dict[str, DataFrame] | None = None):
         self.tokens, self.structs, self.meta, self.groups = tokens, structs, meta, groups or {}
@@ -63,7 +72,7 @@ class Corpus:
         for name, rows in groups.items():
             tokens = with_group_columns(tokens, name, rows)
         attributes = tuple(c for c in tokens.columns if c not in CORE and not c.startswith("r_"))
-        known = {n: {"mode": modes[n], "attrs": [c for c in r.columns if c not in ("idx", "start", "end", "parent_idx")]} for n, r in structs.items()}
+        known = {n: {"mode": modes[n], "attrs": [c for c in r.columns if c not in ROW]} for n, r in structs.items()}
         group_attrs = tuple(c for n in groups for c in attributes if c.startswith(f"{n}_"))
         meta = Meta(size if size is not None else tokens.count(), attributes, known, {n: [] for n in groups}, tuple(dict.fromkeys((*multivalue, *group_attrs))), tuple(k for k in kv_pipe if k in attributes), default_within)
         return cls(tokens, structs, meta, groups)
@@ -117,8 +126,8 @@ class Corpus:
 
     def attribute(self, name: str) -> str | None:
         """The token column that a name stands for, if any."""
-        if name in self.meta.attributes:
-            return name
+        if stored(name) in self.meta.attributes:
+            return stored(name)
         if name == "word" and "form" in self.meta.attributes:
             return "form"
         if "/" in name:
@@ -132,7 +141,7 @@ class Corpus:
         for struct in sorted(self.meta.structs, key=len):
             if name.startswith(f"{struct}_"):
                 rest, attrs = name[len(struct) + 1 :], self.meta.structs[struct]["attrs"]
-                for attr in (rest, name):
+                for attr in (stored(rest), name):
                     if attr in attrs:
                         return struct, attr
         return None

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..corpus import Corpus, CorpusError, covered, value
+from ..corpus import Corpus, CorpusError, covered, stored, value
 from ..functions.text import prefix_sums
 from ..operators.predicates import COMPARE, Conditions, cardinality, test
 from .ast import Filter, Fn, Leaf, Query, Region, Subtree, Token
@@ -146,7 +146,8 @@ class Lowering:
     def rows(self, struct: str, attrs: tuple = (), label: str = "") -> DataFrame:
         rows = self.corpus.structs[struct]
         for name, wanted in attrs:
-            rows = rows.filter(value(name) == wanted) if name in rows.columns else rows.filter(value(f"{struct}_{name}") == wanted)
+            name = next((n for n in (stored(name), f"{struct}_{name}") if n in self.corpus.meta.structs[struct]["attrs"]), None)
+            rows = rows.filter(value(name) == wanted if name else F.lit(False))
         return rows.select(F.col("idx").alias(f"{label}__idx"), F.col("start").alias(f"{label}__start"), F.col("end").alias(f"{label}__end"), F.col("parent_idx").alias(f"{label}__parent"))
 
     def anchors(self, m: Matches, q: Query) -> Matches:
@@ -228,6 +229,7 @@ class Lowering:
     # ------------------------------------------------------------ clauses
 
     def region_rows(self, r: Region, having) -> DataFrame:
+        self.corpus.mode(r.struct)
         rows = self.corpus.structs[r.struct]
         if r.cond is not None:
             _, attr = self.corpus.region_attribute(r.cond.attr) or (None, None)
@@ -304,7 +306,7 @@ class Lowering:
         if label in m.regions:
             struct = m.regions[label]
             attrs = self.corpus.meta.structs[struct]["attrs"]
-            for option in (attr, attr.removeprefix(f"{struct}_"), f"{struct}_{attr}"):
+            for option in map(stored, (attr, attr.removeprefix(f"{struct}_"), f"{struct}_{attr}")):
                 if option in attrs:
                     out = self.conditions.fresh("f")
                     rows = self.corpus.structs[struct].select(F.col("idx").alias(f"{label}__idx"), value(option).alias(out))

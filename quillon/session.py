@@ -143,7 +143,7 @@ class Session:
         if what == "named":
             return spark.createDataFrame([(n, ",".join([*m.slots, *m.regions, *m.subtrees])) for n, m in self.named.items()], "name string, labels string")
         if what == "attributes":
-            return spark.createDataFrame([(a, a in meta.multivalue, a in meta.kv_pipe) for a in meta.attributes], "attribute string, multivalue boolean, kv_pipe boolean")
+            return spark.createDataFrame([(a.removeprefix("attr:"), a in meta.multivalue, a in meta.kv_pipe) for a in meta.attributes], "attribute string, multivalue boolean, kv_pipe boolean")
         if what == "regions":
             if arg:
                 self.corpus.mode(arg)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..corpus import Corpus, CorpusError
+from ..corpus import Corpus, CorpusError, stored
 
 SCHEMA = "path string, kind string, name string, n long, sent long, head long, start long, end long, attrs map<string,string>, spans array<struct<start:long,end:long>>"
 
@@ -112,7 +112,7 @@ def assemble(rows: DataFrame, modes: dict[str, str] | None = None, multivalue: t
     names = lambda kind, struct=None: sorted(r[0] for r in rows.filter((F.col("kind") == kind) & ((F.col("name") == struct) if struct else F.lit(True))).select(F.explode(F.map_keys("attrs"))).distinct().collect())
     declared = [a for x in meta.get("positional", []) for a in x]
     attributes = list(dict.fromkeys(["form", *declared, *names("token")]))
-    get = lambda a: F.coalesce(F.try_element_at("attrs", F.lit(a)), F.lit("_")).alias(a)
+    get = lambda a: F.coalesce(F.try_element_at("attrs", F.lit(a)), F.lit("_")).alias(stored(a))
     tokens = placed.filter("kind = 'token'").select((F.col("n") + F.col("base")).alias("pos"), "doc_id", (F.col("sent") + F.col("sent_base")).alias("sent_id"), (F.col("head") + F.col("base")).alias("head_pos"), *[get(a) for a in attributes])
     structs, groups = {}, {}
     modes = dict(modes or {})
