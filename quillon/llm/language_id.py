@@ -57,16 +57,22 @@ class GatedNet:
     def params(self) -> list[np.ndarray]:
         return [self.table, self.u, self.w, self.b]
 
-    def states(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """x: (T, B) bytes. Returns (T, 2, B, H); the second direction's are at their own positions."""
+    def states(self, x: np.ndarray, keep: list | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
+        """x: (T, B) bytes. Returns (T, 2, B, H); the second direction's are at their own positions.
+
+        With `sizes`, each lane's second direction begins at its own last byte, so what a lane gives
+        does not depend on the lanes beside it; beyond a lane's size the values mean nothing.
+        """
         steps, lanes = x.shape
+        mirror = None if sizes is None else np.maximum(sizes[None, :] - 1 - np.arange(steps)[:, None], 0)
+        y = x[::-1] if mirror is None else x[mirror, np.arange(lanes)]
         hidden = self.u.shape[1]
         h = np.zeros((2, lanes, hidden), np.float32)
         out = np.empty((steps, 2, lanes, hidden), np.float32)
         g = np.empty((2, lanes, 3 * hidden), np.float32)
         for t in range(steps):
             np.take(self.table[0], x[t], axis=0, out=g[0])
-            np.take(self.table[1], x[steps - 1 - t], axis=0, out=g[1])
+            np.take(self.table[1], y[t], axis=0, out=g[1])
             r = np.matmul(h, self.u)
             zr = g[..., : 2 * hidden] + r[..., : 2 * hidden]
             zr *= 0.5
@@ -82,7 +88,9 @@ class GatedNet:
             h = h - n
             h *= z
             h += n
-            out[t, 0], out[steps - 1 - t, 1] = h[0], h[1]
+            out[t, 0], out[steps - 1 - t if mirror is None else t, 1] = h[0], h[1]
+        if mirror is not None:
+            out[:, 1] = out[:, 1][mirror, np.arange(lanes)]
         return out
 
     def probabilities(self, states: np.ndarray) -> np.ndarray:
@@ -179,13 +187,17 @@ class Pooler:
 
     def _run(self, windows: list, owners: list, sizes: list, sums: np.ndarray) -> None:
         block, owner, size = np.concatenate(windows), np.concatenate(owners), np.concatenate(sizes)
-        order = np.argsort(-size, kind="stable")
-        for a in range(0, len(order), LANES):
-            part = order[a : a + LANES]
-            longest = int(size[part[0]])
-            p = self.net.probabilities(self.net.states(np.ascontiguousarray(block[part, :longest].T)))
-            p *= (np.arange(longest)[:, None] < size[part][None, :])[..., None]
-            np.add.at(sums, owner[part], p.sum(axis=0))
+        full, rest = np.flatnonzero(size == WINDOW), np.flatnonzero(size < WINDOW)
+        rest = rest[np.argsort(-size[rest], kind="stable")]
+        for order in (full, rest):
+            for a in range(0, len(order), LANES):
+                part = order[a : a + LANES]
+                longest = int(size[part[0]])
+                x = np.ascontiguousarray(block[part, :longest].T)
+                p = self.net.probabilities(self.net.states(x, sizes=None if order is full else size[part]))
+                if order is not full:
+                    p *= (np.arange(longest)[:, None] < size[part][None, :])[..., None]
+                np.add.at(sums, owner[part], p.sum(axis=0))
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> list:
