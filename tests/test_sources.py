@@ -1,10 +1,13 @@
 import json
 
+import numpy as np
 import pytest
 
+from quillon import api
+from quillon.__main__ import main
 from quillon.corpus import Corpus, CorpusError
 from quillon.session import Session
-from quillon.sources import conllu, jsonl, ptb, vrt
+from quillon.sources import conllu, cwb_binary, jsonl, ptb, vrt
 from quillon.streaming.ingest import ingest, tokens_of
 
 CONLLU = """# newregion text
@@ -150,3 +153,32 @@ def test_stream(spark, tmp_path):
     run()
     got = [tuple(r) for r in tokens_of(spark, out).orderBy("pos").select("pos", "form", "sent_id", "head_pos").collect()]
     assert got == [(0, "a", 0, None), (1, "b", 0, 0), (2, "c", 1, None), (3, "d", 2, None), (4, "e", 3, None), (5, "f", 3, 4)]
+
+
+def test_binary_import(spark, tmp_path):
+    (tmp_path / "word.lexicon").write_bytes("The\0cat\0été\0".encode())
+    (tmp_path / "word.corpus").write_bytes(np.array([0, 1, 2, 1], "<i4").tobytes())
+    (tmp_path / "pos.lexicon").write_bytes(b"D\0N\0")
+    (tmp_path / "pos.corpus").write_bytes(np.array([0, 1, 1, 1], "<i4").tobytes())
+    (tmp_path / "s.avx").write_bytes(np.array([0, 1, 2, 3], "<i4").tobytes())
+    s = Session(cwb_binary.read(spark, str(tmp_path), ["word", "pos"], ["s"]))
+    assert size(s, '[word="cat" & pos="N"]') == 2 and size(s, "[] [] within s") == 2
+
+
+def test_json_api(corpus, capsys):
+    s = Session(corpus)
+    assert json.loads(api.health()) == {"ok": True}
+    assert json.loads(api.info(corpus))["size"] == 8
+    assert json.loads(api.values(corpus, "upos"))["values"][0] == {"value": "NOUN", "count": 3}
+    assert len(json.loads(api.regions(corpus, "text"))["regions"]) == 2
+    got = json.loads(api.query(s, '[upos="NOUN"]', limit=1, max_total=2))
+    assert (got["total"], got["total_exact"], len(got["hits"])) == (2, False, 1)
+    assert json.loads(api.query(s, '[lemma="go"] with [lemma="hond"]'))["hits"][0]["target"] == [6, 6]
+    assert json.loads(api.run(s, '[upos="NOUN"]; count by lemma'))["rows"][0]["count"] == 1
+    assert not json.loads(api.run(s, "[nothing]"))["ok"]
+
+
+def test_command_line(corpus, tmp_path, capsys):
+    corpus.save(f"{tmp_path}/c")
+    main([f"{tmp_path}/c", '[upos="VERB"]; size', "--set", "limit=5"])
+    assert capsys.readouterr().out.strip() == "2"
