@@ -9,8 +9,8 @@ from pyspark.sql import SparkSession
 from ..corpus import Corpus
 from .events import Builder, assemble, read_files
 
-# Keys of the last column that become token attributes.
-MISC = ("tuid", "Translit", "Vform", "LTranslit", "Root", "CorrectForm", "Gloss")
+# Keys of the last column that become token attributes, as they are spelled in existing corpora.
+MISC = ("tuid", "Translit", "Vform", "LTranslt", "Root", "CorrectForm", "Gloss")
 _COMMENT = re.compile(r"#\s*([^=]+?)\s*=\s*(.*)$")
 _NEW = re.compile(r"#\s*(newregion|endregion|newdoc|newpar)\b\s*(.*)$")
 
