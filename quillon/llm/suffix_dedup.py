@@ -9,8 +9,9 @@ meets in one suffix array of bounded size:
    equal owners. Chunks of documents send the distinct owner hashes (8 bytes each) to buckets, which
    answer with those that occur more than once in the corpus. All other strings are unique.
 3. Fragments (the owned strings of a repeated owner, one after the other) meet by owner. A task takes
-   the fragments of its owners in order of document and place, builds suffix orders over batches of
-   whole owners by prefix doubling up to LENGTH bytes, and finds the longest previous factor: in
+   the fragments of its owners in order of document and place. One that equals an earlier one is
+   later in all its strings and needs no array. Over the others, in batches of whole owners, it builds
+   suffix orders by prefix doubling up to LENGTH bytes, and finds the longest previous factor: in
    suffix order with equal prefixes in order of place, the previous smaller position of a suffix whose
    longest previous factor reaches LENGTH is its neighbour, so neighbours of equal rank mark the later.
 4. An owner with more than `HOT` fragments is dealt over several groups; the strings that are first in
@@ -228,7 +229,7 @@ def repeated_owners(hashes: DataFrame) -> DataFrame:
     return hashes.groupBy("bucket").applyInArrow(run, "chunk long, hashes binary, times binary")
 
 
-def fragments(docs: DataFrame, repeated: DataFrame, buckets: int) -> DataFrame:
+def fragments(docs: DataFrame, repeated: DataFrame, buckets: int, most: int = HOT) -> DataFrame:
     """hot, key, owner, late (null id), doc_id, rid, start, bytes: the strings of repeated owners."""
     names = ["hot", "key", "owner", "late", "doc_id", "rid", "start", "bytes"]
     types = [pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
@@ -250,8 +251,8 @@ def fragments(docs: DataFrame, repeated: DataFrame, buckets: int) -> DataFrame:
         ids, rids = docs.column("doc_id").combine_chunks(), docs.column("rid").to_numpy()
         late = ids.is_null().to_numpy(zero_copy_only=False)
         ids = ids.fill_null(0).to_numpy()
-        hot = times > HOT
-        salt = (rids[doc].astype(np.uint64) * _M1 >> np.uint64(33)) % (times // HOT + 1).astype(np.uint64)
+        hot = times > most
+        salt = (rids[doc].astype(np.uint64) * _M1 >> np.uint64(33)) % (times // most + 1).astype(np.uint64)
         key = np.where(hot, (own ^ ((salt + np.uint64(1)) * _M2)).view(np.int64), (own % np.uint64(buckets)).astype(np.int64))
         # views of one buffer: lengths and copies in one go
         sizes = last - first + LENGTH
@@ -276,41 +277,50 @@ def judged(parts: DataFrame) -> DataFrame:
         hot = table.column("hot")[0].as_py()
         col = {c: table.column(c).to_numpy() for c in ("owner", "late", "doc_id", "rid", "start")}
         order = np.lexsort((col["start"], col["rid"], col["doc_id"], col["late"], col["owner"]))
-        owner = col["owner"][order]
-        sizes = np.array([len(x) for x in table.column("bytes").to_pylist()])[order]
-        # batches end where an owner ends
-        ends = np.concatenate([np.flatnonzero(np.diff(owner)) + 1, [len(owner)]])
-        total, out, begin = np.cumsum(sizes), [], 0
         bytes_of = table.column("bytes").to_pylist()
-        while begin < len(owner):
+        # a fragment that is the same as one before is later in all its strings; of the others, an owner needs two to have any
+        seen: set[bytes] = set()
+        whole = np.array([bytes_of[i] in seen or seen.add(bytes_of[i]) is not None for i in order], bool)
+        first = order[~whole]
+        owner = col["owner"][first]
+        ends = np.concatenate([np.flatnonzero(np.diff(owner)) + 1, [len(owner)]])
+        counts = np.diff(ends, prepend=0)
+        several = first[np.repeat(counts > 1, counts)]
+        stops = np.cumsum(counts[counts > 1])
+        total = np.cumsum([len(bytes_of[i]) for i in several])
+        later: dict[int, np.ndarray] = {int(i): np.arange(len(bytes_of[i]) - LENGTH + 1) for i in order[whole]}
+        begin = 0
+        while begin < len(several):
+            # batches end where an owner ends
             done = total[begin - 1] if begin else 0
-            k = np.searchsorted(total[ends - 1], done + BATCH, side="right") - 1
-            stop = int(ends[max(k, np.searchsorted(ends, begin, side="right"))])
-            own = order[begin:stop]
-            pieces = [bytes_of[i] for i in own]
-            for i, piece, later in zip(own, pieces, later_strings(pieces), strict=True):
-                rid, start = int(col["rid"][i]), int(col["start"][i])
-                if len(later):
-                    for low, high in zip(*_runs(later), strict=True):
-                        out.append((rid, start + int(low), start + int(high), None, None, None, None))
-                if hot:
-                    first = np.setdiff1d(np.arange(len(piece) - LENGTH + 1), later, assume_unique=True)
-                    data = np.frombuffer(piece, np.uint8)
-                    h1, h2 = _hashes(data, LENGTH).view(np.int64), _hashes(data[::-1], LENGTH)[::-1].view(np.int64)
-                    late, doc = bool(col["late"][i]), int(col["doc_id"][i])
-                    out += [(rid, start + p, start + p + LENGTH, int(h1[p]), int(h2[p]), late, doc) for p in first.tolist()]
+            k = np.searchsorted(total[stops - 1], done + BATCH, side="right") - 1
+            stop = int(stops[max(k, np.searchsorted(stops, begin, side="right"))])
+            own = several[begin:stop]
+            later |= zip(own.tolist(), later_strings([bytes_of[i] for i in own]), strict=True)
             begin = stop
+        out = []
+        for i in order.tolist():
+            rid, start, found = int(col["rid"][i]), int(col["start"][i]), later.get(i, ())
+            if len(found):
+                for low, high in zip(*_runs(found), strict=True):
+                    out.append((rid, start + int(low), start + int(high), None, None, None, None))
+            if hot and len(found) < len(bytes_of[i]) - LENGTH + 1:
+                rest = np.setdiff1d(np.arange(len(bytes_of[i]) - LENGTH + 1), found, assume_unique=True)
+                data = np.frombuffer(bytes_of[i], np.uint8)
+                h1, h2 = _hashes(data, LENGTH).view(np.int64), _hashes(data[::-1], LENGTH)[::-1].view(np.int64)
+                late, doc = bool(col["late"][i]), int(col["doc_id"][i])
+                out += [(rid, start + p, start + p + LENGTH, int(h1[p]), int(h2[p]), late, doc) for p in rest.tolist()]
         return pa.Table.from_batches([_deal(names, types, out)])
 
     return parts.groupBy("hot", "key").applyInArrow(run, "rid long, low long, high long, h1 long, h2 long, late boolean, doc_id long")
 
 
-def removals(docs: DataFrame, total_bytes: int) -> DataFrame:
+def removals(docs: DataFrame, total_bytes: int, hot: int = HOT) -> DataFrame:
     """rid and the byte runs to remove, of a written table of `numbered` documents with different texts."""
     spark = docs.sparkSession
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total_bytes // 35 // OWNERS)
     repeated = materialize(repeated_owners(owner_hashes(docs, buckets)), "suffix-owners")
-    found = materialize(judged(fragments(docs, repeated, buckets)), "suffix-judged")
+    found = materialize(judged(fragments(docs, repeated, buckets, hot)), "suffix-judged")
     first = found.filter("h1 IS NOT NULL")
     place = F.struct("late", "doc_id", "rid", "low")
     firsts = first.groupBy("h1", "h2").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -347,12 +357,12 @@ def cut(docs: DataFrame, runs: DataFrame) -> DataFrame:
 class Repeats:
     """`unique`: the first document of each text of LENGTH bytes or more, numbered; `runs`: their byte runs that go."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT):
         self.rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
         unique = drop_exact_copies(self.rows, digest=raw_digest).filter(F.octet_length("text") >= LENGTH).withColumn("sha", F.sha2("text", 256))
         self.unique = materialize(numbered(unique), "suffix-unique")
         size = self.unique.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        self.runs = removals(self.unique, size)
+        self.runs = removals(self.unique, size, hot)
 
 
 def suffix_dedup(docs: DataFrame, **cols) -> DataFrame:
