@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import from_planes, packed, planes, unpacked
+from .chunks import from_planes, from_planes_of, packed, planes, planes_of, unpacked
 from .common import documents, materialize
 from .minhash import Words, _mix
 
@@ -50,6 +50,12 @@ def exploded(texts: list[bytes], order: int, memo: Words) -> tuple[np.ndarray, l
     return doc, grams
 
 
+def _cuts(h: np.ndarray, buckets: int) -> list[int]:
+    """Ascending hashes in ranges of equal width, one a bucket: hashes are uniform, so buckets are even."""
+    edges = np.searchsorted(h, (np.arange(1, buckets, dtype=object) * 2**64 // buckets).astype(np.uint64))
+    return [0, *edges.tolist(), len(h)]
+
+
 def count_tables(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
     """chunk, bucket, hashes (planes), times: the n-grams of a chunk and their counts."""
 
@@ -62,51 +68,51 @@ def count_tables(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
                 h, n = (h[1:], n[1:]) if len(h) and h[0] == 0 else (h, n)
                 if not len(h):
                     continue
-                # hashes are uniform, so ranges of them are even buckets and keep the order
-                edges = np.searchsorted(h, (np.arange(1, buckets, dtype=object) * 2**64 // buckets).astype(np.uint64))
-                cuts = [0, *edges.tolist(), len(h)]
-                rows = [(chunk, k, planes(h[a:b]), n[a:b].astype(np.uint32).tobytes()) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
+                cuts = _cuts(h, buckets)
+                rows = [(chunk, k, planes(h[a:b]), planes_of(n[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "bucket", "hashes", "times"])
 
     return chunks.select("chunk", "sizes", "blob").mapInArrow(run, "chunk long, bucket long, hashes binary, times binary")
 
 
 def corpus_counts(tables: DataFrame) -> DataFrame:
-    """chunk, hashes, totals: for each chunk its n-grams that other chunks have too, with their corpus counts."""
+    """chunk, bucket, more, totals: of each count table which n-grams other chunks have too (a bit each, in order), and the corpus counts of these."""
 
     def run(table: pa.Table) -> pa.Table:
         parts = [from_planes(x) for x in table.column("hashes").to_pylist()]
-        times = [np.frombuffer(x, np.uint32) for x in table.column("times").to_pylist()]
+        times = [from_planes_of(x) for x in table.column("times").to_pylist()]
         _, code = np.unique(np.concatenate(parts), return_inverse=True)
         total = np.bincount(code, weights=np.concatenate(times)).astype(np.int64)[code]
         rows, at = [], 0
-        for chunk, h, n in zip(table.column("chunk").to_pylist(), parts, times, strict=True):
+        for chunk, bucket, h, n in zip(table.column("chunk").to_pylist(), table.column("bucket").to_pylist(), parts, times, strict=True):
             own = total[at : at + len(h)]
             at += len(h)
             more = own > n
             if more.any():
-                rows.append((chunk, planes(h[more]), own[more].tobytes()))
-        cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "hashes", "totals"])
+                rows.append((chunk, bucket, np.packbits(more).tobytes(), planes_of(own[more])))
+        cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "bucket", "more", "totals"])
 
-    return tables.groupBy("bucket").applyInArrow(run, "chunk long, hashes binary, totals binary")
+    return tables.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, more binary, totals binary")
 
 
-def scored(chunks: DataFrame, counts: DataFrame, order: int, words: int) -> DataFrame:
+def scored(chunks: DataFrame, counts: DataFrame, order: int, words: int, buckets: int) -> DataFrame:
     """doc_id, n_words, score"""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, n_words, scores, memo = [], [], [], Words()
-        hashes = [from_planes(x) for x in right.column("hashes").to_pylist()]
-        totals = [np.frombuffer(x, np.int64) for x in right.column("totals").to_pylist()]
+        found = list(zip(*(right.column(c).to_pylist() for c in ("bucket", "more", "totals")), strict=True))
         for doc_ids, sizes, blob in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "sizes", "blob")), strict=True):
             doc, grams = exploded(unpacked(sizes, blob), order, memo)
             own_words = np.bincount(doc, minlength=len(doc_ids))
             rest = (words - own_words)[doc].astype(float)
             known, code, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
             total = times.astype(np.int64)
-            for h, t in zip(hashes, totals, strict=True):
-                total[np.searchsorted(known, h)] = t
+            none = int(len(known) > 0 and known[0] == 0)
+            cuts = _cuts(known[none:], buckets)
+            for bucket, more, totals in found:
+                a, b = cuts[bucket] + none, cuts[bucket + 1] + none
+                total[a + np.flatnonzero(np.unpackbits(np.frombuffer(more, np.uint8), count=b - a))] = from_planes_of(totals)
             owned = _mix(known[code] ^ (np.tile(doc, order).astype(np.uint64) + np.uint64(1)) * _SALT[9])
             _, own, own_times = np.unique(owned, return_inverse=True, return_counts=True)
             count = (total[code] - own_times[own]).reshape(order, -1)
@@ -135,7 +141,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id",
     total = docs.agg(F.sum(words.cast("long")).alias("words"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), (total["bytes"] or 0) // (8 << 20))
     counts = materialize(corpus_counts(count_tables(chunks, order, buckets)), "lm-counts")
-    return scored(chunks, counts, order, total["words"] or 0)
+    return scored(chunks, counts, order, total["words"] or 0, buckets)
 
 
 def op7_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,3 +53,12 @@ def planes(values: np.ndarray) -> bytes:
 
 def from_planes(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def planes_of(counts: np.ndarray) -> bytes:
+    """Counts, byte plane by byte plane, as they are."""
+    return np.ascontiguousarray(counts.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes_of(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel().astype(np.int64)
