@@ -148,14 +148,14 @@ class Mix:
     def taken(self) -> DataFrame:
         """rid and the words that the mix takes of each document that has any taken."""
         times = self.picks().groupBy("source_index", "block_index").agg(F.count(F.lit(1)).alias("times"))
-        met = self.pieces().join(times, ["source_index", "block_index"])
+        met = self.pieces().join(times.hint("merge"), ["source_index", "block_index"])
         return met.groupBy("rid").agg(F.sum(F.col("piece_words") * F.col("times")).alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture, block by block: shard, slot, round, doc_id, piece_start, piece_words, rid; slots of a shard in order are its text."""
     m = Mix(docs, **options)
-    return m.picks().join(m.pieces(), ["source_index", "block_index"])
+    return m.picks().hint("merge").join(m.pieces(), ["source_index", "block_index"])
 
 
 def mixed_documents(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", **options) -> DataFrame:
@@ -166,9 +166,9 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", chars_col: str | No
     columns = docs.columns
     kept = materialize(docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), F.monotonically_increasing_id().alias("rid")), "mix-docs")
     m = Mix(kept.select("row.*", "rid") if "rid" not in columns else kept.select(*[F.col(f"row.`{c}`").alias(c) for c in columns if c != "rid"], "rid"), text_col=text_col, **options)
-    drawn = m.picks().select("source_index", "block_index", "round").join(m.pieces(), ["source_index", "block_index"])
+    drawn = m.picks().select("source_index", "block_index", "round").hint("merge").join(m.pieces(), ["source_index", "block_index"])
     drawn = drawn.groupBy("rid", "round").agg(F.array_sort(F.collect_list(F.struct("piece_start", "piece_words"))).alias("pieces"), F.sum("piece_words").alias("n"))
-    met = kept.join(drawn, "rid").withColumn("w", words(F.col(f"row.`{text_col}`")))
+    met = kept.join(drawn.hint("merge"), "rid").withColumn("w", words(F.col(f"row.`{text_col}`")))
     parts = F.transform("pieces", lambda p: F.array_join(F.slice("w", (p["piece_start"] + 1).cast("int"), p["piece_words"].cast("int")), " "))
     text = F.when(F.col("n") == F.size("w"), F.col(f"row.`{text_col}`")).otherwise(F.array_join(parts, " "))
     met = met.withColumn("new_text", text)
@@ -179,4 +179,4 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", chars_col: str | No
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = Mix(documents(spark, sf_dir))
-    return m.docs.join(m.taken(), "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
+    return m.docs.join(m.taken().hint("merge"), "rid", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
