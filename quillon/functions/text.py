@@ -56,3 +56,18 @@ def prefix_sums(df: DataFrame, order: str, value: str, out: str, rows: int) -> D
     inside = Window.partitionBy("__bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     part = part.withColumn("__in", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     return part.join(bases, "__bucket").withColumn(out, F.col("__base") + F.col("__in")).drop("__bucket", "__base", "__in")
+
+
+def numbered(df: DataFrame, order: list[str], out: str, path: str) -> DataFrame:
+    """`df` with `out` = 0, 1, 2... in the order of the columns, kept as Parquet under `path`.
+
+    A prefix count of two levels: the place inside a range of rows, and the sum of the sizes of the
+    ranges before it. Ranges are cut by all columns, so a hot first column is spread over many.
+    """
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    rows.write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).withColumn("__range", F.shiftright("__at", 33)).withColumn("__at", F.col("__at").bitwiseAND((1 << 33) - 1))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))  # a row per task of the shuffle
+    bases = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    return rows.join(F.broadcast(bases), "__range").withColumn(out, F.col("__base") + F.col("__at")).drop("__range", "__at", "__base")

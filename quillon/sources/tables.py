@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..corpus import Corpus
-from ..functions.text import fold_case, prefix_sums
+from ..functions.text import fold_case, numbered, prefix_sums
 
 _known: dict[tuple[str, str, str], Corpus] = {}
 
@@ -66,9 +66,9 @@ def document_corpus(spark: SparkSession, docs: DataFrame) -> Corpus:
 
 def conversation_corpus(spark: SparkSession, turns: DataFrame) -> Corpus:
     """text = conversation, s = turn with role and tuid: turns 2k and 2k+1 of a conversation share one."""
-    rows = turns.select(F.struct("conv_id", "turn").alias("key"), "conv_id", "turn", "role", "text").withColumn("doc_id", F.col("conv_id") * 4096 + F.col("turn"))
-    tokens, sents = lines_to_tokens(rows.select("doc_id", "text"), rows.count())
     path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    rows = numbered(turns.select("conv_id", "turn", "role", "text"), ["conv_id", "turn", "role", "text"], "doc_id", f"{path}/turns")
+    tokens, sents = lines_to_tokens(rows.select("doc_id", "text"), rows.count())
     tokens.write.parquet(f"{path}/raw"), sents.write.parquet(f"{path}/sents")
     tokens, sents = spark.read.parquet(f"{path}/raw"), spark.read.parquet(f"{path}/sents")
     spans = sents.groupBy("doc_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
