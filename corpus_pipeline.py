@@ -13,15 +13,15 @@ from pyspark.sql import functions as F
 from quillon.llm import exact_dedup, language_id, minhash, mixing, packing
 from quillon.llm.common import documents, materialize
 
-#: A document's language counts as unknown below this pooled probability.
-MIN_SCORE = 0.3
+#: A text counts as in no learned language if its likeness is this many standard deviations of labelled texts below their mean.
+MIN_LIKENESS = -4.0
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter go, and those that no learned language takes at least MIN_SCORE of."""
-    net, langs = language_id.fit(docs)
-    judged = language_id.predict(docs, net, langs, names_out=("__language", "__score"))
-    return judged.filter((F.col("__language") != "und") & (F.col("__score") >= MIN_SCORE)).drop("__language", "__score")
+    """Texts without a letter go, and those far less like the learned languages than labelled texts are (`Likeness`)."""
+    net, langs, likeness = language_id.fit_with_likeness(docs)
+    judged = language_id.predict(docs, net, langs, names_out=("__language", "__score", "__likeness"), likeness=likeness)
+    return judged.filter((F.col("__language") != "und") & (F.col("__likeness") >= MIN_LIKENESS)).drop("__language", "__score", "__likeness")
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

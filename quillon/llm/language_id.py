@@ -32,6 +32,8 @@ LANES = 4096
 SNIPPETS = 3
 SNIPPET_CHARS = 96
 _LETTER = re.compile(r"[^\W\d_]")
+#: Bytes with upper case, digits and white space folded.
+_FOLD = np.array([32 if 9 <= b <= 13 else 48 if 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -158,14 +160,86 @@ def train(snippets: list[bytes], labels: np.ndarray, classes: int, steps: int =
     return net
 
 
+class Likeness:
+    """How much like the learned languages a text is, whatever their number.
+
+    A byte's likelihood is a mixture: the network says at each byte how much of which language (half
+    the weight is even over all, for places where it errs, as where languages change), and a table per
+    language how likely the byte is after the one before it. Upper case, digits and white
+    space are folded; the first byte of a window and spaces after spaces do not count. The mean log
+    likelihood of a text is compared with what labelled snippets of its languages get from tables that
+    were counted without them, in their standard deviations at the largest of SIZES that the text
+    reaches (fewer bytes: wider). A language of fewer than `FEW` snippets of a size has no calibration
+    there and a deviation of 1, so that it rejects next to nothing; no deviation is below `LEAST`.
+    """
+
+    SIZES = (8, 16, 32, 64)
+    FEW = 20
+    LEAST = 0.2
+
+    def __init__(self, net: GatedNet, snippets: list[tuple[int, int, bytes]]):
+        """snippets: (language, half, text); both halves count, and each is calibrated by the other's tables."""
+        classes = len(net.b)
+        halves = [self._tables([(c, t) for c, h, t in snippets if h == half], classes) for half in (0, 1)]
+        self.tables = self._tables([(c, t) for c, _, t in snippets], classes)
+        self.mean, self.sd = np.zeros((classes, len(self.SIZES))), np.ones((classes, len(self.SIZES)))
+        for k, size in enumerate(self.SIZES):
+            got: list[list[float]] = [[] for _ in range(classes)]
+            for half in (0, 1):
+                some = [(c, t[: size + 1]) for c, h, t in snippets if h == half and len(t) > size]
+                if some:
+                    x = np.stack([np.frombuffer(t, np.uint8) for _, t in some], axis=1)
+                    total, count = self.sums(x, net.probabilities(net.states(x)), halves[1 - half])
+                    for (c, _), a, n in zip(some, total, count, strict=True):
+                        if n:
+                            got[c].append(a / n)
+            for c, values in enumerate(got):
+                self.mean[c, k] = np.mean(values) if values else np.log(1 / 256)
+                self.sd[c, k] = max(np.std(values), self.LEAST) if len(values) >= self.FEW else 1.0
+
+    @staticmethod
+    def _tables(texts: list[tuple[int, bytes]], classes: int) -> np.ndarray:
+        """(C, 65536): the probability of a byte after another, drawn towards that of the byte alone."""
+        pairs = np.zeros((classes, 256 * 256))
+        for c, text in texts:
+            x = _FOLD[np.frombuffer(text, np.uint8)].astype(np.int32)
+            pairs[c] += np.bincount(x[:-1] * 256 + x[1:], minlength=256 * 256)
+        pairs = pairs.reshape(classes, 256, 256)
+        alone = pairs.sum(axis=1) + 0.5
+        alone /= alone.sum(axis=-1, keepdims=True)
+        pairs = (pairs + 4 * alone[:, None, :]) / (pairs.sum(axis=-1, keepdims=True) + 4)
+        return pairs.reshape(classes, -1).astype(np.float32)
+
+    @staticmethod
+    def sums(x: np.ndarray, p: np.ndarray, tables: np.ndarray, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """x: (T, B) bytes, p: (T, B, C). Log likelihoods and numbers of the bytes that count, by lane."""
+        x = _FOLD[x]
+        pair = x[:-1].astype(np.int32) * 256 + x[1:]
+        mixed = np.full(pair.shape, 1e-9, np.float32)
+        for c, table in enumerate(tables):
+            mixed += (0.5 * p[1:, :, c] + 0.5 / len(tables)) * table[pair]
+        counts = pair != 32 * 256 + 32
+        if sizes is not None:
+            counts &= np.arange(1, len(x))[:, None] < sizes[None, :]
+        return (np.log(mixed) * counts).sum(axis=0), counts.sum(axis=0)
+
+    def deviations(self, pooled: np.ndarray, total: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Of each text; 0 without a byte that counts."""
+        k = np.maximum(np.searchsorted(self.SIZES, count, side="right") - 1, 0)
+        mean, sd = (pooled * self.mean.T[k]).sum(axis=1), (pooled * self.sd.T[k]).sum(axis=1)
+        n = np.maximum(count, 1)
+        return np.where(count > 0, (total / n - mean) / (sd * np.sqrt(np.maximum(self.SIZES[0] / n, 1))), 0.0)
+
+
 class Pooler:
     """Sums of position probabilities by document, over windows of many documents at once."""
 
-    def __init__(self, net: GatedNet):
-        self.net, self.classes = net, len(net.b)
+    def __init__(self, net: GatedNet, likeness: Likeness | None = None):
+        self.net, self.classes, self.likeness = net, len(net.b), likeness
 
     def pooled(self, texts: list[bytes]) -> np.ndarray:
-        sums = np.zeros((len(texts), self.classes))
+        """Probabilities; with a likeness, a last column of deviations."""
+        sums = np.zeros((len(texts), self.classes + 2 * bool(self.likeness)))
         windows, owners, sizes, held = [], [], [], 0
         for k, text in enumerate(texts):
             data = np.frombuffer(text, np.uint8)
@@ -183,7 +257,8 @@ class Pooler:
                     windows, owners, sizes, held = [], [], [], 0
         if held:
             self._run(windows, owners, sizes, sums)
-        return sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-12)
+        p = sums[:, : self.classes] / np.maximum(sums[:, : self.classes].sum(axis=1, keepdims=True), 1e-12)
+        return np.column_stack([p, self.likeness.deviations(p, sums[:, -2], sums[:, -1])]) if self.likeness else p
 
     def _run(self, windows: list, owners: list, sizes: list, sums: np.ndarray) -> None:
         block, owner, size = np.concatenate(windows), np.concatenate(owners), np.concatenate(sizes)
@@ -195,9 +270,10 @@ class Pooler:
                 longest = int(size[part[0]])
                 x = np.ascontiguousarray(block[part, :longest].T)
                 p = self.net.probabilities(self.net.states(x, sizes=None if order is full else size[part]))
+                like = self.likeness.sums(x, p, self.likeness.tables, size[part]) if self.likeness else ()
                 if order is not full:
                     p *= (np.arange(longest)[:, None] < size[part][None, :])[..., None]
-                np.add.at(sums, owner[part], p.sum(axis=0))
+                np.add.at(sums, owner[part], np.column_stack([p.sum(axis=0), *like]) if like else p.sum(axis=0))
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> list:
@@ -216,7 +292,10 @@ def held_out(id_text) -> F.Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400) -> tuple[GatedNet | None, list[str]]:
-    sample = labelled_sample(docs, id_col, text_col, lang_col, per_lang)
+    return _learn(labelled_sample(docs, id_col, text_col, lang_col, per_lang))
+
+
+def _learn(sample: list) -> tuple[GatedNet | None, list[str]]:
     pairs = [(lang, cut.encode()) for lang, _, cuts in sample for cut in cuts if _LETTER.search(cut)]
     langs = sorted({lang for lang, _ in pairs})
     if not langs:
@@ -224,30 +303,42 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return train([c for _, c in pairs], np.array([langs.index(lang) for lang, _ in pairs]), len(langs)), langs
 
 
-def predict(docs: DataFrame, net: GatedNet | None, langs: list[str], text_col: str = "text", names_out: tuple[str, str] = ("lang_pred", "score"), chunk_chars: int = 1 << 20) -> DataFrame:
-    """`docs` with the predicted language and its score appended; columns of these names are replaced."""
+def fit_with_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400) -> tuple[GatedNet | None, list[str], Likeness | None]:
+    """The network of `fit` and the likeness that goes with it, from one sample."""
+    sample = labelled_sample(docs, id_col, text_col, lang_col, per_lang)
+    net, langs = _learn(sample)
+    snippets = [(langs.index(lang), k % 2, cut.encode()) for k, (lang, _, cuts) in enumerate(sample) for cut in cuts if _LETTER.search(cut)]
+    return net, langs, net and Likeness(net, snippets)
+
+
+def predict(docs: DataFrame, net: GatedNet | None, langs: list[str], text_col: str = "text", names_out: tuple[str, ...] = ("lang_pred", "score"), chunk_chars: int = 1 << 20, likeness: Likeness | None = None) -> DataFrame:
+    """`docs` with the predicted language and its score appended; columns of these names are replaced.
+
+    With a third name, the text's `Likeness` too (0 for `und`): deviations from labelled texts, far below 0 for unlike ones.
+    """
     from .encode import in_chunks
 
     names, at = docs.columns, docs.columns.index(text_col)
     fields = [f for f in docs.schema.fields if f.name not in names_out]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{names_out[0]}` string, `{names_out[1]}` double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{names_out[0]}` string, " + ", ".join(f"`{c}` double" for c in names_out[1:])
     keep = [k for k, c in enumerate(names) if c not in names_out]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pooler = net and Pooler(net)
+        pooler = net and Pooler(net, likeness)
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for a, b in in_chunks(texts, chunk_chars):
                 part = [t or "" for t in texts[a:b]]
                 some = [bool(net) and bool(_LETTER.search(t)) for t in part]
-                pred, score = ["und"] * len(part), [0.0] * len(part)
+                pred, score, like = ["und"] * len(part), [0.0] * len(part), [0.0] * len(part)
                 if any(some):
                     p = pooler.pooled([t.encode() for t, s in zip(part, some, strict=True) if s])
-                    best = p.argmax(axis=1)
+                    best = p[:, : len(langs)].argmax(axis=1)
                     for k, row, c in zip([k for k, s in enumerate(some) if s], p, best, strict=True):
-                        pred[k], score[k] = langs[c], float(min(1.0, row[c]))
+                        pred[k], score[k], like[k] = langs[c], float(min(1.0, row[c])), float(row[-1]) if likeness else 0.0
                 out = [batch.column(k).slice(a, b - a) for k in keep]
-                yield pa.RecordBatch.from_arrays([*out, pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*[names[k] for k in keep], *names_out])
+                more = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(like, pa.float64())][: len(names_out)]
+                yield pa.RecordBatch.from_arrays([*out, *more], names=[*[names[k] for k in keep], *names_out])
 
     return docs.mapInArrow(judge, schema)
 
