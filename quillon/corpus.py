@@ -176,7 +176,7 @@ def with_parents(rows: DataFrame) -> DataFrame:
 def with_group_columns(tokens: DataFrame, name: str, groups: DataFrame) -> DataFrame:
     """<name>_gid and <name>_<prop> as multivalue columns of the tokens that a group has."""
     at = groups.select("gid", "props", F.explode("spans").alias("s")).select("gid", "props", F.explode(F.sequence("s.start", "s.end")).alias("pos"))
-    keys = sorted(r[0] for r in groups.select(F.explode(F.map_keys("props"))).distinct().limit(1000).collect())
+    keys = sorted(r[0] for r in groups.select(F.explode(F.map_keys("props"))).distinct().collect())
     join = lambda c: F.concat_ws("|", F.array_sort(F.collect_set(c)))
     per = at.groupBy("pos").agg(join(F.col("gid").cast("string")).alias(f"{name}_gid"), *[join(F.try_element_at("props", F.lit(k))).alias(f"{name}_{k}") for k in keys])
     cols = [f"{name}_gid", *[f"{name}_{k}" for k in keys]]

@@ -18,6 +18,9 @@ from ..corpus import Corpus, CorpusError, stored
 
 SCHEMA = "path string, kind string, name string, n long, sent long, head long, start long, end long, attrs map<string,string>, spans array<struct<start:long,end:long>>"
 
+#: What headers declare of a whole corpus; different values of all files count, in the order of their first files.
+DECLARED = ("positional", "nested", "overlapping", "zerowidth", "multivalue", "kv_pipe", "default_within")
+
 
 class Builder:
     """Tokens, sentences, regions and groups of one file, in file coordinates."""
@@ -106,9 +109,9 @@ def assemble(rows: DataFrame, modes: dict[str, str] | None = None, multivalue: t
     files = all_paths.select("path", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("sents").over(before), F.lit(0)).alias("sent_base"), (F.row_number().over(Window.orderBy("path")) - 1).cast("long").alias("doc_id"))
     placed = rows.join(files, "path")
     meta: dict[str, list] = {}
-    for r in rows.filter("kind = 'meta'").select("attrs").limit(10_000).collect():
-        for k, v in (r["attrs"] or {}).items():
-            meta.setdefault(k, []).append(json.loads(v))
+    said = rows.filter("kind = 'meta'").select("path", F.explode("attrs").alias("key", "value")).filter(F.col("key").isin(*DECLARED))
+    for r in sorted(said.groupBy("key", "value").agg(F.min("path").alias("path")).collect(), key=lambda r: (r["path"], r["key"], r["value"])):
+        meta.setdefault(r["key"], []).append(json.loads(r["value"]))
     names = lambda kind, struct=None: sorted(r[0] for r in rows.filter((F.col("kind") == kind) & ((F.col("name") == struct) if struct else F.lit(True))).select(F.explode(F.map_keys("attrs"))).distinct().collect())
     declared = [a for x in meta.get("positional", []) for a in x]
     attributes = list(dict.fromkeys(["form", *declared, *names("token")]))

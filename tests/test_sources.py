@@ -182,3 +182,25 @@ def test_command_line(corpus, tmp_path, capsys):
     corpus.save(f"{tmp_path}/c")
     main([f"{tmp_path}/c", '[upos="VERB"]; size', "--set", "limit=5"])
     assert capsys.readouterr().out.strip() == "2"
+
+
+def test_headers_of_many_files(spark):
+    """No declaration is lost, however many files have headers."""
+    from quillon.sources.events import SCHEMA, assemble
+
+    none = "string(null) AS name, n, 0L AS sent, long(null) AS head, long(null) AS start, long(null) AS end"
+    spans = "CAST(null AS array<struct<start:long,end:long>>) AS spans"
+    head = spark.range(0, 10_100, 1, 3).selectExpr("format_string('%06d', id) AS path", "'meta' AS kind", "0L AS n", """CASE WHEN id = 10099 THEN map('multivalue', '["domain"]', 'default_within', '"s"') ELSE map('positional', '["form", "domain"]', 'token_count', string(id)) END AS attrs""")
+    word = spark.range(1).selectExpr("'010099' AS path", "'token' AS kind", "0L AS n", "map('form', 'x', 'domain', 'a|b') AS attrs")
+    rows = head.unionByName(word).selectExpr("path", "kind", *none.replace("string(null)", "CAST(null AS string)").replace("long(null)", "CAST(null AS long)").split(", "), "attrs", spans)
+    c = assemble(spark.createDataFrame(rows.rdd, SCHEMA))
+    assert c.meta.default_within == "s" and c.meta.multivalue == ("domain",) and c.meta.size == 1
+
+
+def test_many_group_properties(spark):
+    from quillon.corpus import with_group_columns
+
+    tokens = spark.range(1).selectExpr("id AS pos")
+    groups = spark.range(1).selectExpr("'1' AS gid", "array(struct(0L AS start, 0L AS end)) AS spans", "map_from_arrays(transform(sequence(1, 1050), k -> format_string('p%04d', k)), transform(sequence(1, 1050), k -> string(k))) AS props")
+    got = with_group_columns(tokens, "g", groups)
+    assert len(got.columns) == 1 + 1 + 1050 and "g_p1050" in got.columns
