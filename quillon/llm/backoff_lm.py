@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import from_planes, from_planes_of, packed, planes, planes_of, unpacked
-from .common import documents, materialize
+from .common import documents, materialize, released
 from .minhash import Words, _mix
 
 ORDER = 2
@@ -72,7 +72,7 @@ def count_tables(chunks: DataFrame, order: int, buckets: int) -> DataFrame:
                 rows = [(chunk, k, planes(h[a:b]), planes_of(n[a:b])) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "bucket", "hashes", "times"])
 
-    return chunks.select("chunk", "sizes", "blob").mapInArrow(run, "chunk long, bucket long, hashes binary, times binary")
+    return chunks.select("chunk", "sizes", "blob").mapInArrow(released(run), "chunk long, bucket long, hashes binary, times binary")
 
 
 def corpus_counts(tables: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import released
+
 CHUNK = 4 << 20
 SCHEMA = "chunk long, doc_ids array<long>, sizes array<long>, blob binary"
 
@@ -38,7 +40,7 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chun
         if ids:
             yield flush()
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(released(run), SCHEMA)
 
 
 def unpacked(sizes: list[int], blob: bytes) -> list[bytes]:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,18 +18,39 @@ WS = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+    """The folder that driver and executors share: the session's spark.checkpoint.dir, or the context's checkpoint folder.
 
-    Only where that is unset (tests on one machine) is a temporary folder made and set.
+    Where both are unset, a temporary folder serves a session whose executors run on this machine
+    (tests); on a cluster that is an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="quillon-shared-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function on Arrow batches that hands its memory back when a task ends: workers outlive tasks and stages."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return inner
+
+
+def release() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"

@@ -3,8 +3,10 @@
 Both kinds of tokenizer used here never join tokens across certain places in a text, so a text is
 cut there, every distinct unit is encoded once, and the ids of a text are the joined ids of its
 units. `byte` (byte-level BPE whose words carry one leading space): a text may be cut before a
-space unless white space stands on both its sides. `word` (white space dropped): a text may be cut
-at white space. Texts with doubled or unusual white space take a slower cut with the same result.
+space that something other than white space follows. `word` (white space dropped): a text may be
+cut at white space. A text is first parted at the tokenizer's added tokens, which the library
+takes out of a text wherever they stand; so the ids are those of the library as it comes.
+A stretch without any such place (one long word, only white space) goes to the library whole.
 """
 
 from __future__ import annotations
@@ -15,11 +17,16 @@ from array import array
 
 import numpy as np
 
-#: Entries kept by one Python worker, about 200 bytes each; a full memo starts afresh.
-MEMO = 1 << 19
+#: Bytes that the memo of one Python worker may take, by estimate; a full memo starts afresh.
+MEMO = 64 << 20
+#: What an entry takes besides its unit and its ids.
+ENTRY = 160
+#: Longer units are not kept.
+LONGEST = 64
 
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_DOUBLE_SPACE = re.compile(r"\s (?:\s|\Z)")
+_DOUBLE_SPACE = re.compile(r"\s (?:\s|\Z)|  ")
+_BEFORE_SPACE = re.compile(r"(?= \S)")
 #: Letters that every Unicode version in use knows as letters.
 _LATIN = r"A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 #: ASCII punctuation but the apostrophe and the underscore.
@@ -41,7 +48,7 @@ def byte_units(text: str) -> list[str]:
     if not text:
         return []
     if _DOUBLE_SPACE.search(text) or _ODD_SPACE.search(text):
-        return [text]
+        return [x for x in _BEFORE_SPACE.split(text) if x]
     first, *rest = text.split(" ")
     return [first, *[" " + x for x in rest]] if first else [" " + x for x in rest]
 
@@ -59,14 +66,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        if any(t.lstrip or t.rstrip or t.single_word or t.normalized for t in added.values()):
+            raise ValueError("added tokens that take their surroundings along are not provided for")
+        self.added = {t.content: i.to_bytes(4, "little") for i, t in added.items()}
+        self.part = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.units, self.joint = {"byte": (byte_units, ""), "word": (word_units, " ")}[kind]
         self.plain, self.pointed = (re.compile(p).fullmatch for p in ((f" [{_LATIN}]+", f"( [{_LATIN}]+)([{_POINTS}]+)") if kind == "byte" else (f"[{_LATIN}]+", f"([{_LATIN}]+)([{_POINTS}]+)")))
         vocab = self.tokenizer.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, bool)
         self.edge[[i for t, i in vocab.items() if (t.startswith("\u0120") if kind == "byte" else t.endswith("</w>"))]] = True
         self.ends = kind == "word"
-        self.most, self.memo = memo, {}
+        self.most, self.memo, self.held = memo, {}, 0
 
     def _single(self, units: list[str]) -> None:
         for k in range(0, len(units), 4096):
@@ -89,7 +100,9 @@ class Encoder:
     def learn(self, new: set[str]) -> None:
         plain, single, pointed = set(), set(), []
         for unit in new:
-            if self.plain(unit):
+            if unit in self.added:
+                self.memo[unit] = self.added[unit]
+            elif self.plain(unit):
                 plain.add(unit)
             elif m := self.pointed(unit):
                 pointed.append((unit, *m.groups()))
@@ -106,15 +119,28 @@ class Encoder:
         for unit, word, points in pointed:
             memo[unit] = memo[word] + memo[points]
 
+    def _cut(self, text: str) -> list[str]:
+        """The units of a text; an added token is a unit of its own."""
+        if self.part is None or not self.part.search(text):
+            return self.units(text)
+        return [u for k, x in enumerate(self.part.split(text)) for u in ([x] if k % 2 else self.units(x))]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.units(t or "") for t in texts]
+        cut = [self._cut(t or "") for t in texts]
         every = set().union(*cut)
         new = every.difference(self.memo)
-        if len(self.memo) + len(new) > self.most:
-            self.memo, new = {}, every
+        if self.held > self.most:
+            self.memo, self.held, new = {}, 0, every
         self.learn(new)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, units)) for units in cut]
+        memo = self.memo
+        get = memo.__getitem__
+        out = [b"".join(map(get, units)) for units in cut]
+        for unit in new:
+            if len(unit) > LONGEST:
+                del memo[unit]
+            else:
+                self.held += ENTRY + len(unit) + len(memo[unit])
+        return out
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}

@@ -7,7 +7,8 @@ bytes, many windows of many documents step through the network together, and sum
 are kept while a long one streams through.
 
 Training takes a bounded sample: of each labelled language at most `per_lang` documents (one of
-the smallest hash in each of `per_lang` hash classes) and `SNIPPETS` snippets of each.
+the smallest hash in each of `per_lang` hash classes) and `SNIPPETS` snippets of each; of all
+together at most `max_sample` documents, shared evenly (more languages than that: one document each).
 
 Defined results: null text or text without a letter is `und` with score 0; without any labelled
 row everything is `und`; rows with repeated or null ids are judged each (a null id counts as held
@@ -16,7 +17,6 @@ out: no remainder is known for it); an empty table gives an empty result; other
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,20 +24,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, materialize, released
 
 WINDOW = 128
 HIDDEN = 8
-LANES = 4096
+LANES = 1024
 SNIPPETS = 3
 SNIPPET_CHARS = 96
-_LETTER = re.compile(r"[^\W\d_]")
 #: Bytes with upper case, digits and white space folded.
 _FOLD = np.array([32 if 9 <= b <= 13 else 48 if 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def has_letter(text: str) -> bool:
+    """A letter is a character of a Unicode category L: `½`, `²` and `Ⅷ` are none, nor is a combining mark alone."""
+    return any(map(str.isalpha, text))
 
 
 class GatedNet:
@@ -276,14 +276,18 @@ class Pooler:
                 np.add.at(sums, owner[part], np.column_stack([p.sum(axis=0), *like]) if like else p.sum(axis=0))
 
 
-def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int) -> list:
-    """(lang, snippets) of at most per_lang documents a language, in a fixed order."""
+def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_lang: int, max_sample: int = 100_000) -> list:
+    """(lang, class, snippets) of at most per_lang documents a language and max_sample in all, in a fixed order."""
     n = F.greatest(F.length("text") - SNIPPET_CHARS, F.lit(1))
     cuts = F.array(*[F.substring(F.col("text"), (F.pmod(F.xxhash64("id", F.lit(k)), n) + 1).cast("int"), F.lit(SNIPPET_CHARS)) for k in range(SNIPPETS)])
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     rows = rows.select("lang", "id", cuts.alias("cuts"), F.pmod(F.xxhash64("id", F.lit(-1)), F.lit(per_lang)).alias("class"), F.xxhash64("id", F.lit(-2)).alias("h"))
     picked = rows.groupBy("lang", "class").agg(F.min_by("cuts", F.struct("h", "id", "cuts")).alias("cuts"))
+    picked = materialize(picked, "language-sample")
+    most = max(1, max_sample // max(1, picked.select("lang").distinct().count()))
+    if most < per_lang:
+        picked = picked.groupBy("lang", (F.col("class") % most).alias("class")).agg(F.min_by("cuts", "class").alias("cuts"))
     return sorted((r["lang"], r["class"], r["cuts"]) for r in picked.collect())
 
 
@@ -296,7 +300,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 
 def _learn(sample: list) -> tuple[GatedNet | None, list[str]]:
-    pairs = [(lang, cut.encode()) for lang, _, cuts in sample for cut in cuts if _LETTER.search(cut)]
+    pairs = [(lang, cut.encode()) for lang, _, cuts in sample for cut in cuts if has_letter(cut)]
     langs = sorted({lang for lang, _ in pairs})
     if not langs:
         return None, []
@@ -307,7 +311,7 @@ def fit_with_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The network of `fit` and the likeness that goes with it, from one sample."""
     sample = labelled_sample(docs, id_col, text_col, lang_col, per_lang)
     net, langs = _learn(sample)
-    snippets = [(langs.index(lang), k % 2, cut.encode()) for k, (lang, _, cuts) in enumerate(sample) for cut in cuts if _LETTER.search(cut)]
+    snippets = [(langs.index(lang), k % 2, cut.encode()) for k, (lang, _, cuts) in enumerate(sample) for cut in cuts if has_letter(cut)]
     return net, langs, net and Likeness(net, snippets)
 
 
@@ -329,7 +333,7 @@ def predict(docs: DataFrame, net: GatedNet | None, langs: list[str], text_col: s
             texts = batch.column(at).to_pylist()
             for a, b in in_chunks(texts, chunk_chars):
                 part = [t or "" for t in texts[a:b]]
-                some = [bool(net) and bool(_LETTER.search(t)) for t in part]
+                some = [bool(net) and bool(has_letter(t)) for t in part]
                 pred, score, like = ["und"] * len(part), [0.0] * len(part), [0.0] * len(part)
                 if any(some):
                     p = pooler.pooled([t.encode() for t, s in zip(part, some, strict=True) if s])
@@ -340,7 +344,7 @@ def predict(docs: DataFrame, net: GatedNet | None, langs: list[str], text_col: s
                 more = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(like, pa.float64())][: len(names_out)]
                 yield pa.RecordBatch.from_arrays([*out, *more], names=[*[names[k] for k in keep], *names_out])
 
-    return docs.mapInArrow(judge, schema)
+    return docs.mapInArrow(released(judge), schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = 400) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach_groups, documents, materialize
+from .common import attach_groups, documents, materialize, released
 from .components import components
 
 WORDS = 5
@@ -126,7 +126,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                 all_bands.append(bands(sketch(s)) if len(s) else None)
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(all_bands, pa.list_(pa.int64()))], names=["rid", "doc_id", "k1", "k2", "n", "set_key", "bands"])
 
-    return docs.mapInArrow(run, "rid long, doc_id long, k1 long, k2 long, n long, set_key binary, bands array<long>")
+    return docs.mapInArrow(released(run), "rid long, doc_id long, k1 long, k2 long, n long, set_key binary, bands array<long>")
 
 
 def with_sets(docs: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def with_sets(docs: DataFrame) -> DataFrame:
             sets = [shingles(t, memo).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["cid", "set"])
 
-    return docs.mapInArrow(run, "cid long, set binary")
+    return docs.mapInArrow(released(run), "cid long, set binary")
 
 
 def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
@@ -155,7 +155,7 @@ def confirmed(pairs: DataFrame, percent: int) -> DataFrame:
                     keep.append(k)
             yield pa.RecordBatch.from_pydict({"a": pa.array([a[k] for k in keep], pa.int64()), "b": pa.array([b[k] for k in keep], pa.int64())})
 
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(released(run), "a long, b long")
 
 
 def block_links(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, words
+from .common import documents, materialize, released, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 128
@@ -129,7 +129,7 @@ class Mix:
                         yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(b - a, shard)), "slot": pa.array(np.arange(at + a, at + b)), "source_index": pa.array(np.full(b - a, source, np.int32)), "round": pa.array(rounds[a:b].astype(np.int32)), "block_index": pa.array(index[a:b])})
 
         table = spark.createDataFrame(plan, "shard long, source_index int, first long, n long, at long").repartition(max(1, min(len(plan), 200)))
-        return table.mapInArrow(fill, "shard long, slot long, source_index int, round int, block_index long")
+        return table.mapInArrow(released(fill), "shard long, slot long, source_index int, round int, block_index long")
 
     def pieces(self) -> DataFrame:
         """One row a document and block that share words: rid, doc_id, source_index, block_index, piece_start, piece_words. A document without words has none."""

@@ -6,9 +6,10 @@ the fullest is emitted and a fresh one opened. What is still open at the end of
 written apart, and a last pass merges these leftovers the same way, then cuts what remains into
 full windows, so each merging task pads one window at most. No text is ever shuffled.
 
-Defined results: null text is an empty text, which has the end id alone; each row is a document
-of its own, also when ids repeat or are null; an empty table gives an empty result; other columns
-are not read.
+Defined results: null text is an empty text, which has the end id alone; an added token of the
+tokenizer (`<|endoftext|>`) that stands in a text gets its own id, as the library has it; each row
+is a document of its own, also when ids repeat or are null; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,13 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, released
 from .encode import default_path, encoder, in_chunks
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary, left boolean"
 ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("ids", pa.binary()), ("left", pa.bool_())])
-#: Leftover pieces that one merging task handles.
-MERGE = 200_000
+#: Leftover pieces that one merging task handles; each task pads one window at most.
+MERGE = 8192
 FLUSH = 4096
 
 
@@ -131,10 +132,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, kind: str = "byte", end_
         packer.close(merge=True)
         yield from packer.batches(1)
 
-    placed = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(online, SCHEMA)
+    placed = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(released(online), SCHEMA)
     placed = materialize(placed, "packed")
     left = placed.filter("left").select("doc_id", "start", "ids", "doc_tokens")
-    merged = left.repartition(max(1, -(-left.count() // MERGE))).sortWithinPartitions(F.xxhash64("doc_id", "start")).mapInArrow(merge, SCHEMA)
+    merged = left.repartition(max(1, -(-left.count() // MERGE))).sortWithinPartitions(F.xxhash64("doc_id", "start")).mapInArrow(released(merge), SCHEMA)
     return placed.filter("NOT left").unionByName(merged).drop("left")
 
 

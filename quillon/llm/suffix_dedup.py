@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize
+from .common import documents, materialize, released
 from .exact_dedup import drop_exact_copies, exact_dedup, raw_digest
 
 LENGTH = 100
@@ -180,7 +180,7 @@ def numbered(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + np.arange(row, row + len(chunks))), pa.array(chunks, pa.int64())], names=["doc_id", "text", "sha", "rid", "chunk"])
             row += len(chunks)
 
-    return docs.mapInArrow(run, "doc_id long, text string, sha string, rid long, chunk long")
+    return docs.mapInArrow(released(run), "doc_id long, text string, sha string, rid long, chunk long")
 
 
 def _laid(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +204,7 @@ def owner_hashes(docs: DataFrame, buckets: int) -> DataFrame:
                 rows = [(int(chunks[a]), int(k), h[own].tobytes(), n[own].astype(np.uint32).tobytes()) for k, own in zip(found, np.split(order, first[1:]), strict=True)] if len(h) else []
                 yield _deal(["chunk", "bucket", "hashes", "times"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], rows)
 
-    return docs.select("chunk", "text").mapInArrow(run, "chunk long, bucket long, hashes binary, times binary")
+    return docs.select("chunk", "text").mapInArrow(released(run), "chunk long, bucket long, hashes binary, times binary")
 
 
 def repeated_owners(hashes: DataFrame) -> DataFrame:
@@ -351,7 +351,7 @@ def cut(docs: DataFrame, runs: DataFrame) -> DataFrame:
             yield _deal(["sha", "n_removed", "n_spans", "kept_sha256", "cleaned"], [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()], rows)
 
     spans = runs.groupBy("rid").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
-    return docs.select("rid", "sha", "text").join(spans, "rid").select("sha", "text", "spans").mapInArrow(run, "sha string, n_removed long, n_spans long, kept_sha256 string, cleaned binary")
+    return docs.select("rid", "sha", "text").join(spans, "rid").select("sha", "text", "spans").mapInArrow(released(run), "sha string, n_removed long, n_spans long, kept_sha256 string, cleaned binary")
 
 
 class Repeats:

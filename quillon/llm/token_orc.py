@@ -6,8 +6,10 @@ stripe in parallel; `lookup` pushes its id predicate into the reader, which skip
 groups by their minima, maxima and Bloom filters. A small `index` table holds, per file, the first
 position and the number of ids, so positions over the whole corpus need no pass over the ids.
 
+Ranges are as many as the input has splits, or as the session's shuffle partitions if those are more.
+
 Defined results: null text is an empty text, which has the end id alone; null ids come first;
-rows with equal ids stand in the order of their text's hash; an empty table gives empty files;
+rows with equal ids stand in the order of their text's hash; an added token in a text gets its own id; an empty table gives empty files;
 other columns are not read.
 """
 
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, scratch
+from .common import documents, released, scratch
 from .encode import default_path, encoder, in_chunks
 
 SCHEMA = "doc_id long, local_start long, n_tokens long, ids array<int>"
@@ -53,10 +55,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, kind:
 
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
-    dealt = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    dealt.mapInArrow(tokens, SCHEMA).write.options(**ORC).orc(f"{path}/tokens")
+    splits = docs.rdd.getNumPartitions()
+    by = [splits] if splits > int(spark.conf.get("spark.sql.shuffle.partitions")) else []
+    dealt = rows.repartitionByRange(*by, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    dealt.mapInArrow(released(tokens), SCHEMA).write.options(**ORC).orc(f"{path}/tokens")
     files = _files(spark, path).groupBy("file").agg(F.sum("n_tokens").alias("n_tokens"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("n_tokens").over(Window.orderBy(F.regexp_extract("file", r"part-(\d+)", 1).cast("long"), "file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files.withColumn("first_position", before).write.orc(f"{path}/index")
 
 
@@ -86,7 +90,7 @@ def with_crc(rows: DataFrame) -> DataFrame:
             sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(released(crc), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:

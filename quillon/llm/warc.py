@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach_groups, materialize, scratch
+from .common import attach_groups, materialize, released, scratch
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -36,6 +36,12 @@ READ = 1 << 18
 RANGE = 32 << 20
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path without a scheme lies in the cluster's default file system."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return path if "://" in path or path.startswith("file:") or default.startswith("file:") else default.rstrip("/") + path
+
+
 def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     if "://" not in path and not path.startswith("file:"):
         return fs.LocalFileSystem(), path
@@ -87,7 +93,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
     An archive is written under a name of its attempt and then moved into place, so a task that is
     run again leaves one whole archive.
     """
-    revisit_bytes = cols.pop("revisit_bytes", 0)
+    revisit_bytes, path = cols.pop("revisit_bytes", 0), qualified(pages.sparkSession, path)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -113,7 +119,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
             store.move(temp, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"archive": [f"{root}/{name}"], "records": [n], "bytes": [size]})
 
-    return materialize(with_responses(pages, revisit_bytes=revisit_bytes, **cols).mapInArrow(write, "archive string, records long, bytes long"), "warc-written")
+    return materialize(with_responses(pages, revisit_bytes=revisit_bytes, **cols).mapInArrow(released(write), "archive string, records long, bytes long"), "warc-written")
 
 
 # ---------------------------------------------------------------- reading
@@ -180,6 +186,7 @@ def records_in(file, size: int, start: int, end: int) -> Iterator[tuple[int, dic
 
 def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE, with_block: bool = True) -> DataFrame:
     """One row per record: archive, offset, record_type, record_id, target, refers_to, payload_digest, payload_bytes, digest_ok, block."""
+    path = qualified(spark, path)
     store, root = filesystem(path)
     found = [x for x in store.get_file_info(fs.FileSelector(root, allow_not_found=True)) if x.is_file and x.base_name.endswith(".warc.gz")]
     ranges = [(f"{root}/{x.base_name}", x.size, a, min(x.size, a + range_bytes)) for x in sorted(found, key=lambda x: x.path) for a in range(0, x.size, range_bytes)]
@@ -206,7 +213,7 @@ def read_archives(spark: SparkSession, path: str, range_bytes: int = RANGE, with
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
 
     table = spark.createDataFrame(ranges, "archive string, size long, start long, end long")
-    return table.repartition(max(1, min(len(ranges), 10_000))).mapInArrow(read, schema)
+    return table.repartition(max(1, min(len(ranges), 10_000))).mapInArrow(released(read), schema)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,3 +94,28 @@ def test_warc_of_awkward_pages(spark):
         ("urn:page:none", "revisit", "urn:page:3", 1),
     ]
     assert warc.read_archives(spark, scratch(spark, "nothing")).count() == 0
+
+
+def test_what_a_letter_is(spark):
+    texts = ["½", "²", "Ⅷ", "\u0301", "_ 7 _", "é", "日", "ʰ", "½a", "a\u0301"]
+    docs = fixtures.table(spark, [(k, t, None, "s") for k, t in enumerate(texts)] + [(100 + k, "abc def " * 5, "en", "s") for k in range(20)])
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()}
+    assert [got[k] != "und" for k in range(len(texts))] == [False] * 5 + [True] * 5
+
+
+def test_the_sample_of_a_language_shrinks_with_their_number(spark):
+    docs = fixtures.table(spark, [(k, f"text {k} of a language", f"l{k % 30}", "s") for k in range(3000)])
+    some = language_id.labelled_sample(docs, "doc_id", "text", "lang", 400, max_sample=90)
+    assert len({r[0] for r in some}) == 30 and len(some) <= 90
+
+
+def test_the_context_checkpoint_folder_is_used(spark, tmp_path):
+    from quillon.llm.common import shared_dir
+
+    old = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.unset("spark.checkpoint.dir")
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        assert str(tmp_path) in shared_dir(spark)
+    finally:
+        spark.conf.set("spark.checkpoint.dir", old)

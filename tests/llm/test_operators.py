@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from quillon.llm import backoff_lm, exact_dedup, host_rules, language_id, minhash, mixing, packing, suffix_dedup, token_orc, warc
 from quillon.llm.common import scratch
@@ -28,11 +29,15 @@ def words(text):
 
 @pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
 def test_encoder_equals_the_library(name, kind):
-    enc, r = Encoder(default_path(name), kind, memo=300), random.Random(5)
+    library = Tokenizer.from_file(default_path(name))
+    enc, r = Encoder(default_path(name), kind, memo=60_000), random.Random(5)
     alphabet = "ab e\u0301'sß.,|<>  \n\t \u2003 \x1c\xa0E1²_-ΣσA日\U0001f642"
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 50))) for _ in range(3000)]
     texts += ["", " ", "x ", "  x  y  ", "a \n b", "don't they'll", "<|endoftext|>", None]
-    want = enc.tokenizer.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
+    for token in ("<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|"):
+        texts += [token, f"a{token}b", f"a {token} b", f"  {token}  ", f"{token}{token} {token}\n", f"one two  {token}three {token} x", f" {token}", f"é {token}'s"]
+    texts += ["".join(r.choice(["a", " ", "  ", "\n", "<|endoftext|>", "<|startoftext|>", "b c", "<|", "|>"]) for _ in range(r.randint(1, 12))) for _ in range(1000)]
+    want = library.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
     assert enc.encode(texts) == [np.array(e.ids, "<u4").tobytes() for e in want]
 
 
