@@ -1,9 +1,11 @@
 """Every operator and stage over the awkward table and the empty one: defined results, no crash."""
 
+from types import SimpleNamespace
+
 import pytest
 
 from quillon.llm import backoff_lm, exact_dedup, host_rules, language_id, minhash, mixing, packing, suffix_dedup, token_orc, warc
-from quillon.llm.common import scratch
+from quillon.llm.common import scratch, shared_dir
 
 from . import fixtures
 
@@ -109,13 +111,11 @@ def test_the_sample_of_a_language_shrinks_with_their_number(spark):
     assert len({r[0] for r in some}) == 30 and len(some) <= 90
 
 
-def test_the_context_checkpoint_folder_is_used(spark, tmp_path):
-    from quillon.llm.common import shared_dir
+def test_the_context_checkpoint_folder_is_used():
+    def session(conf, context, master):
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getCheckpointDir=lambda: context))
 
-    old = spark.conf.get("spark.checkpoint.dir")
-    spark.conf.unset("spark.checkpoint.dir")
-    spark.sparkContext.setCheckpointDir(str(tmp_path))
-    try:
-        assert str(tmp_path) in shared_dir(spark)
-    finally:
-        spark.conf.set("spark.checkpoint.dir", old)
+    assert shared_dir(session({"spark.checkpoint.dir": "hdfs://a/b/"}, None, "yarn")) == "hdfs://a/b"
+    assert shared_dir(session({}, "hdfs://c", "yarn")) == "hdfs://c"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session({}, None, "yarn"))
