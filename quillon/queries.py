@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,11 +71,35 @@ def program(text: str, names: dict[str, str] | None = None, settings: dict | Non
     return run
 
 
-def size(text: str, **options) -> Callable[[SparkSession, str], DataFrame]:
-    return program(f"{text}; size", **options)
+def size(text: str, settings: dict | None = None, table: str = "documents", dialect: str | None = None, corpus: Callable | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    """The number of matches and three sums over their places, so that as many matches elsewhere don't pass for them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        s = Session(corpus(spark, sf_dir)) if corpus else session(spark, sf_dir, table)
+        s.settings |= settings or {}
+        s.run(text, dialect)
+        return s.named["Last"].df.agg(F.count(F.lit(1)).alias("size"), *[F.coalesce(F.sum(F.expr(c)), F.lit(0)).alias(n) for n, c in PLACES.items()])
+
+    return run
 
 
+PLACES = {"firsts": "first", "lasts": "last", "mixed": "(first * 31 + last * 17) % 10007"}
 N = "CAST(count(*) AS BIGINT)"
+
+
+def places(frm: str, first: str, last: str) -> str:
+    sums = ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {n}" for n, c in (("firsts", "f"), ("lasts", "l"), ("mixed", "(f * 31 + l * 17) % 10007")))
+    return f"SELECT {N} AS size, {sums} FROM (SELECT {first} AS f, {last} AS l FROM {frm})"
+
+
+def extent(frm: str) -> tuple[str, str]:
+    """First and last position of the slots of a FROM clause: t alone, or t under the names a, b, c."""
+    names = [f"{x}.pos" for x in re.findall(r"\bt ([abc])\b", frm.partition("WHERE")[0])]
+    if not frm.startswith(("t a", "up JOIN")):
+        return "t.pos", "t.pos"
+    return f"least({', '.join(names)})", f"greatest({', '.join(names)})"
+
+
 ALL: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
 
@@ -82,8 +107,8 @@ def add(name: str, run: Callable[[SparkSession, str], DataFrame], body: str | No
     ALL[name] = (run, sql(body, *more) if body else None)
 
 
-def counted(name: str, query: str, frm: str, *more: str, **options) -> None:
-    add(name, size(query, **options), f"SELECT {N} AS size FROM {frm}", *more)
+def counted(name: str, query: str, frm: str, *more: str, at: tuple[str, str] | None = None, **options) -> None:
+    add(name, size(query, **options), places(frm, *(at or extent(frm))), *more)
 
 
 # --------------------------------------------------------------- predicates
@@ -99,7 +124,7 @@ counted("pred_fold_both", '[form="E" %cd]', "t WHERE form IN ('e', 'E', 'è', '
 counted("pred_multivalue", '[tags="even" & tags!="tee"]', "t WHERE list_contains(tags, 'even') AND NOT list_contains(tags, 'tee')")
 counted("pred_feature", '[feats/Init="t" & feats/Len!="3"]', "t WHERE left(lemma, 1) = 't' AND length(lemma) <> 3")
 counted("pred_region_flat", '[text_lang="fr" & upos="DET"]', "t JOIN d USING (doc_id) WHERE lang = 'fr' AND upos = 'DET'")
-ALL["pred_region_overlapping"] = (size('[win_k!="even"]'), sql(f"SELECT {N} AS size FROM (SELECT DISTINCT unnest(generate_series(s, e)) AS pos FROM win WHERE k <> 'even')", NODES))
+ALL["pred_region_overlapping"] = (size('[win_k!="even"]'), sql(places("(SELECT DISTINCT unnest(generate_series(s, e)) AS pos FROM win WHERE k <> 'even')", "pos", "pos"), NODES))
 counted("pred_nvals", "[nvals(tags) = 2]", "t WHERE len(tags) = 2")
 counted("pred_or_group", '[(lemma="the" | lemma="of") & s_len >= "5"]', "t WHERE lemma IN ('the', 'of') AND CAST(sent_n AS VARCHAR) >= '5'")
 counted("pred_child", '[upos="NOUN" & child[upos="DET"]]', "t WHERE upos = 'NOUN' AND EXISTS (SELECT 1 FROM t c WHERE c.head_pos = t.pos AND c.upos = 'DET')")
@@ -108,7 +133,7 @@ counted("pred_parent", '[upos="DET" & parent[upos="VERB"]]', "t JOIN t p ON p.po
 counted("pred_sibling", '[upos="VERB" & sibling[upos="VERB"]]', "t JOIN t b ON b.head_pos = t.head_pos AND b.pos <> t.pos WHERE t.upos = 'VERB' AND b.upos = 'VERB'")
 counted("pred_descendant", '[upos="VERB" & descendant[upos="ADJ"]]', "t WHERE upos = 'VERB' AND pos IN (SELECT anc FROM up JOIN t c ON c.pos = up.pos WHERE c.upos = 'ADJ')", CLOSURE)
 counted("pred_ancestor", '[upos="ADJ" & ancestor[upos="ADJ"]]', "t WHERE upos = 'ADJ' AND pos IN (SELECT up.pos FROM up JOIN t a ON a.pos = up.anc WHERE a.upos = 'ADJ')", CLOSURE)
-counted("pred_count_children", '[count(child[upos="NOUN"]) >= 2]', "(SELECT head_pos FROM t WHERE upos = 'NOUN' AND head_pos IS NOT NULL GROUP BY head_pos HAVING count(*) >= 2)")
+counted("pred_count_children", '[count(child[upos="NOUN"]) >= 2]', "(SELECT head_pos FROM t WHERE upos = 'NOUN' AND head_pos IS NOT NULL GROUP BY head_pos HAVING count(*) >= 2)", at=("head_pos", "head_pos"))
 counted("pred_or_relations", '[upos="ADJ" | child[upos="ADJ"]]', "t WHERE upos = 'ADJ' OR pos IN (SELECT head_pos FROM t WHERE upos = 'ADJ')")
 
 # ---------------------------------------------------------------- sequences
@@ -116,10 +141,10 @@ RUNS = "r AS (SELECT min(pos) AS s, max(pos) AS e FROM (SELECT pos, pos - row_nu
 counted("seq_adjacent", '[upos="DET"] [upos="NOUN"]', "t a JOIN t b ON b.pos = a.pos + 1 WHERE a.upos = 'DET' AND b.upos = 'NOUN'")
 counted("seq_adjacent_within", '[upos="DET"] [upos="NOUN"] within s', "t a JOIN t b ON b.pos = a.pos + 1 AND a.sent_id = b.sent_id WHERE a.upos = 'DET' AND b.upos = 'NOUN'")
 counted("seq_three", '[upos="DET"] [upos="NOUN"] [upos="VERB"]', "t a JOIN t b ON b.pos = a.pos + 1 JOIN t c ON c.pos = a.pos + 2 WHERE a.upos = 'DET' AND b.upos = 'NOUN' AND c.upos = 'VERB'")
-counted("seq_optional", '[upos="VERB"] []? [upos="ADJ"]', "(SELECT a.pos FROM t a JOIN t b ON b.pos = a.pos + 1 WHERE a.upos = 'VERB' AND b.upos = 'ADJ' UNION ALL SELECT a.pos FROM t a JOIN t b ON b.pos = a.pos + 2 WHERE a.upos = 'VERB' AND b.upos = 'ADJ')")
-ALL["seq_range"] = (size('[upos="ADJ"] [upos="NOUN"]{1,3} [upos="ADJ"]'), sql(f"SELECT {N} AS size FROM (SELECT a.pos FROM t a JOIN t b ON b.pos = a.pos + 1 JOIN t c ON c.pos = a.pos + 2 WHERE a.upos = 'ADJ' AND b.upos = 'NOUN' AND c.upos = 'ADJ' UNION ALL SELECT a.pos FROM t a JOIN t b ON b.pos = a.pos + 1 JOIN t b2 ON b2.pos = a.pos + 2 JOIN t c ON c.pos = a.pos + 3 WHERE a.upos = 'ADJ' AND b.upos = 'NOUN' AND b2.upos = 'NOUN' AND c.upos = 'ADJ' UNION ALL SELECT a.pos FROM t a JOIN t b ON b.pos = a.pos + 1 JOIN t b2 ON b2.pos = a.pos + 2 JOIN t b3 ON b3.pos = a.pos + 3 JOIN t c ON c.pos = a.pos + 4 WHERE a.upos = 'ADJ' AND b.upos = 'NOUN' AND b2.upos = 'NOUN' AND b3.upos = 'NOUN' AND c.upos = 'ADJ')"))
+counted("seq_optional", '[upos="VERB"] []? [upos="ADJ"]', "(SELECT a.pos, b.pos AS l FROM t a JOIN t b ON b.pos = a.pos + 1 WHERE a.upos = 'VERB' AND b.upos = 'ADJ' UNION ALL SELECT a.pos, b.pos FROM t a JOIN t b ON b.pos = a.pos + 2 WHERE a.upos = 'VERB' AND b.upos = 'ADJ')", at=("pos", "l"))
+ALL["seq_range"] = (size('[upos="ADJ"] [upos="NOUN"]{1,3} [upos="ADJ"]'), sql(places("(SELECT a.pos, c.pos AS l FROM t a JOIN t b ON b.pos = a.pos + 1 JOIN t c ON c.pos = a.pos + 2 WHERE a.upos = 'ADJ' AND b.upos = 'NOUN' AND c.upos = 'ADJ' UNION ALL SELECT a.pos, c.pos FROM t a JOIN t b ON b.pos = a.pos + 1 JOIN t b2 ON b2.pos = a.pos + 2 JOIN t c ON c.pos = a.pos + 3 WHERE a.upos = 'ADJ' AND b.upos = 'NOUN' AND b2.upos = 'NOUN' AND c.upos = 'ADJ' UNION ALL SELECT a.pos, c.pos FROM t a JOIN t b ON b.pos = a.pos + 1 JOIN t b2 ON b2.pos = a.pos + 2 JOIN t b3 ON b3.pos = a.pos + 3 JOIN t c ON c.pos = a.pos + 4 WHERE a.upos = 'ADJ' AND b.upos = 'NOUN' AND b2.upos = 'NOUN' AND b3.upos = 'NOUN' AND c.upos = 'ADJ')", "pos", "l")))
 ALL["seq_maximal_runs"] = (program('Q = r:[upos="NOUN"]+; count Q by tcnt(r)', {"tcnt(r)": "n"}), sql(f"SELECT CAST(least(a + 99, e) - a + 1 AS VARCHAR) AS n, {N} AS count, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM (SELECT e, unnest(generate_series(s, e, 100)) AS a FROM r) GROUP BY 1", RUNS))
-counted("seq_tiled_runs", '[upos="NOUN"]{2,3}', "(SELECT least(a + 2, e) - a + 1 AS n FROM (SELECT e, unnest(generate_series(s, e, 3)) AS a FROM r)) WHERE n >= 2", RUNS)
+counted("seq_tiled_runs", '[upos="NOUN"]{2,3}', "(SELECT a, least(a + 2, e) - a + 1 AS n FROM (SELECT e, unnest(generate_series(s, e, 3)) AS a FROM r)) WHERE n >= 2", RUNS, at=("a", "a + n - 1"))
 counted("order_filter", 'a:[upos="VERB"] > b:[upos="NOUN"] :: a > b', "t a JOIN t b ON b.head_pos = a.pos WHERE a.upos = 'VERB' AND b.upos = 'NOUN' AND a.pos > b.pos")
 counted("distance_filter", 'a:[upos="ADJ"] []{0,6} b:[upos="ADJ"] :: distance(a, b) <= 4', "t a JOIN t b ON b.pos BETWEEN a.pos + 1 AND a.pos + 4 WHERE a.upos = 'ADJ' AND b.upos = 'ADJ'")
 counted("same_lemma", "a:[] b:[] :: a.lemma = b.lemma", "t a JOIN t b ON b.pos = a.pos + 1 WHERE a.lemma = b.lemma")
@@ -132,25 +157,25 @@ counted("tree_descendants", '[upos="VERB"] >> [upos="ADJ"]', "up JOIN t a ON a.p
 counted("tree_ancestors", '[upos="ADJ"] << [upos="VERB"]', "up JOIN t a ON a.pos = up.anc JOIN t b ON b.pos = up.pos WHERE a.upos = 'VERB' AND b.upos = 'ADJ'", CLOSURE)
 counted("tree_no_child", '[upos="VERB"] !> [upos="NOUN"]', "t a WHERE a.upos = 'VERB' AND NOT EXISTS (SELECT 1 FROM t b WHERE b.head_pos = a.pos AND b.upos = 'NOUN')")
 ALL["tree_shape"] = (program('a:[upos="ADJ"] :: nchildren(a) = 2 & depth(a) >= 1 & ndescendants(a) > 2; count by a.deprel'), sql(f"SELECT deprel AS a_deprel, {N} AS count, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM t JOIN (SELECT head_pos AS pos, count(*) AS c FROM t GROUP BY 1) USING (pos) JOIN (SELECT anc AS pos, count(*) AS m FROM up GROUP BY 1) USING (pos) WHERE upos = 'ADJ' AND i > 1 AND c = 2 AND m > 2 GROUP BY 1", CLOSURE))
-counted("tree_subtree", 'a:[upos="VERB"] x:dep_subtree(a) :: tcnt(x) > 3', "(SELECT anc FROM up JOIN t ON t.pos = up.anc WHERE t.upos = 'VERB' GROUP BY anc HAVING count(*) + 1 > 3)", CLOSURE)
-counted("tree_subtree_named", 'V = [upos="VERB"]; x = dep_subtree(V) :: tcnt(x) = 3', "(SELECT anc FROM up JOIN t ON t.pos = up.anc WHERE t.upos = 'VERB' GROUP BY anc HAVING count(*) + 1 = 3)", CLOSURE)
+counted("tree_subtree", 'a:[upos="VERB"] x:dep_subtree(a) :: tcnt(x) > 3', "(SELECT anc FROM up JOIN t ON t.pos = up.anc WHERE t.upos = 'VERB' GROUP BY anc HAVING count(*) + 1 > 3)", CLOSURE, at=("anc", "anc"))
+counted("tree_subtree_named", 'V = [upos="VERB"]; x = dep_subtree(V) :: tcnt(x) = 3', "(SELECT anc FROM up JOIN t ON t.pos = up.anc WHERE t.upos = 'VERB' GROUP BY anc HAVING count(*) + 1 = 3)", CLOSURE, at=("anc", "anc"))
 
 # ------------------------------------------------------------------ regions
 counted("region_start", '<s> [upos="DET"]', "t WHERE i = 1 AND upos = 'DET'")
 counted("region_end", '[upos="DET"] </s>', "t WHERE i = sent_n AND upos = 'DET'")
 add("region_binding", program('np:<node type="B4"> [upos="DET"]; count by np.type'), f"SELECT type AS np_type, {N} AS count, round(100.0::DOUBLE, 6) AS pct FROM t JOIN node ON node.s = t.pos WHERE type = 'B4' AND upos = 'DET' GROUP BY 1", NODES)
-counted("region_only", 'n:<text lang="fr">', "(SELECT DISTINCT doc_id FROM t) JOIN d USING (doc_id) WHERE lang = 'fr'")
+counted("region_only", 'n:<text lang="fr">', "(SELECT doc_id, min(pos) AS f, max(pos) AS l FROM t GROUP BY doc_id) JOIN d USING (doc_id) WHERE lang = 'fr'", at=("f", "l"))
 counted("region_filter", 'x:<s> [upos="NOUN"] :: x.s_len = "7"', "t WHERE i = 1 AND upos = 'NOUN' AND sent_n = 7")
-ALL["region_children"] = (size('x:<node type="B4"> y:<node type="B2"> :: rchild(x, y) = 1'), sql(f"SELECT {N} AS size FROM (SELECT y.s, (y.s - sents.start) // 4 * 4 + sents.start AS xs FROM node y JOIN t ON t.pos = y.s JOIN sents ON sents.sent_id = t.sent_id WHERE y.type = 'B2') q JOIN node x ON x.s = q.xs AND x.type = 'B4' JOIN node y ON y.s = q.s AND y.type = 'B2' WHERE x.e - x.s > y.e - y.s AND y.e <= x.e", NODES))
+ALL["region_children"] = (size('x:<node type="B4"> y:<node type="B2"> :: rchild(x, y) = 1'), sql(places("(SELECT y.s, (y.s - sents.start) // 4 * 4 + sents.start AS xs FROM node y JOIN t ON t.pos = y.s JOIN sents ON sents.sent_id = t.sent_id WHERE y.type = 'B2') q JOIN node x ON x.s = q.xs AND x.type = 'B4' JOIN node y ON y.s = q.s AND y.type = 'B2' WHERE x.e - x.s > y.e - y.s AND y.e <= x.e", "x.s", "x.e"), NODES))
 counted("region_zero_width", '[upos="NOUN"] <gap>', "t JOIN sents USING (sent_id) WHERE n >= 6 AND t.i = 3 AND upos = 'NOUN'")
 counted("within_nested", '[upos="NOUN"] [upos="VERB"] within node_type="B4"', "t a JOIN t b ON b.pos = a.pos + 1 AND b.sent_id = a.sent_id WHERE a.upos = 'NOUN' AND b.upos = 'VERB' AND a.sent_n > 4 AND (a.i - 1) // 4 = (b.i - 1) // 4")
 counted("within_having", '[upos="ADJ"] within s having [lemma="the"]', "t WHERE upos = 'ADJ' AND sent_id IN (SELECT sent_id FROM t WHERE lemma = 'the')")
 counted("within_attribute", '[upos="ADJ"] within text_lang="de"', "t JOIN d USING (doc_id) WHERE upos = 'ADJ' AND lang = 'de'")
 counted("not_within", '[upos="NOUN"] [upos="NOUN"] not within s', "t a JOIN t b ON b.pos = a.pos + 1 AND b.sent_id <> a.sent_id WHERE a.upos = 'NOUN' AND b.upos = 'NOUN'")
-ALL["containing_region"] = (size('[upos="NOUN"] [] [] containing node_type="B2"'), sql(f"SELECT {N} AS size FROM (SELECT DISTINCT p FROM (SELECT pos AS p, unnest([pos, pos + 1, pos + 2]) AS q FROM t WHERE upos = 'NOUN') JOIN node ON node.s = q AND node.e <= p + 2 AND type = 'B2' WHERE p + 2 < (SELECT n FROM tot))", NODES))
-counted("containing_subtree", '[] [] [] containing subtree [upos="NOUN"]', "(SELECT DISTINCT p FROM (SELECT pos AS p, unnest([pos, pos + 1, pos + 2]) AS q FROM t WHERE pos + 2 < (SELECT n FROM tot)) JOIN (SELECT t.pos, least(t.pos, coalesce(min(up.pos), t.pos)) AS lo, greatest(t.pos, coalesce(max(up.pos), t.pos)) AS hi FROM t LEFT JOIN up ON up.anc = t.pos WHERE upos = 'NOUN' GROUP BY t.pos) x ON x.pos = q AND lo >= p AND hi <= p + 2)", CLOSURE)
-counted("group_query", '<pair type="even">', "sents WHERE n >= 2 AND n % 2 = 0")
-counted("group_where", 'T = [lemma="the"]; <pair type="even"> where T', "sents WHERE n >= 2 AND n % 2 = 0 AND sent_id IN (SELECT sent_id FROM t WHERE lemma = 'the' AND (i = 1 OR i = sent_n))")
+ALL["containing_region"] = (size('[upos="NOUN"] [] [] containing node_type="B2"'), sql(places("(SELECT DISTINCT p FROM (SELECT pos AS p, unnest([pos, pos + 1, pos + 2]) AS q FROM t WHERE upos = 'NOUN') JOIN node ON node.s = q AND node.e <= p + 2 AND type = 'B2' WHERE p + 2 < (SELECT n FROM tot))", "p", "p + 2"), NODES))
+counted("containing_subtree", '[] [] [] containing subtree [upos="NOUN"]', "(SELECT DISTINCT p FROM (SELECT pos AS p, unnest([pos, pos + 1, pos + 2]) AS q FROM t WHERE pos + 2 < (SELECT n FROM tot)) JOIN (SELECT t.pos, least(t.pos, coalesce(min(up.pos), t.pos)) AS lo, greatest(t.pos, coalesce(max(up.pos), t.pos)) AS hi FROM t LEFT JOIN up ON up.anc = t.pos WHERE upos = 'NOUN' GROUP BY t.pos) x ON x.pos = q AND lo >= p AND hi <= p + 2)", CLOSURE, at=("p", "p + 2"))
+counted("group_query", '<pair type="even">', "sents WHERE n >= 2 AND n % 2 = 0", at=("start", "start + n - 1"))
+counted("group_where", 'T = [lemma="the"]; <pair type="even"> where T', "sents WHERE n >= 2 AND n % 2 = 0 AND sent_id IN (SELECT sent_id FROM t WHERE lemma = 'the' AND (i = 1 OR i = sent_n))", at=("start", "start + n - 1"))
 
 # ----------------------------------------------------------------- commands
 add("count_two_fields", program('[upos="VERB"]; count by lemma, text_lang', settings={"group_limit": 0}), f"SELECT lemma, lang AS text_lang, {N} AS count, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM t JOIN d USING (doc_id) WHERE upos = 'VERB' GROUP BY 1, 2")
@@ -185,19 +210,21 @@ add("show_values", program("show values tags"), f"SELECT tag AS value, {N} AS co
 add("show_values_region", program("show values text_source"), f"SELECT source AS value, {N} AS count FROM d WHERE doc_id IN (SELECT doc_id FROM t) GROUP BY 1")
 add("raw_matches", program('[lemma="the"] [upos="ADJ"]; raw'), "SELECT a.pos AS first, a.pos + 1 AS last, [a.pos, a.pos + 1] AS positions, [a.form, b.form] AS forms FROM t a JOIN t b ON b.pos = a.pos + 1 WHERE a.lemma = 'the' AND b.upos = 'ADJ'")
 add("kwic", program('[upos="ADJ"]; cat'), "SELECT pos AS first, pos AS last, doc_id AS doc, (SELECT coalesce(string_agg(b.form, ' ' ORDER BY b.pos), '') FROM t b WHERE b.pos BETWEEN p.pos - 5 AND p.pos - 1) AS left, form AS match, (SELECT coalesce(string_agg(b.form, ' ' ORDER BY b.pos), '') FROM t b WHERE b.pos BETWEEN p.pos + 1 AND p.pos + 5) AS right FROM (SELECT * FROM t WHERE upos = 'ADJ' ORDER BY pos LIMIT 20) p")
-add("string_functions", size('a:[] :: strlen(a.lemma) = 12 & f(a.lemma) >= 2'), f"SELECT {N} AS size FROM t JOIN (SELECT lemma, count(*) AS c FROM t GROUP BY 1) USING (lemma) WHERE length(lemma) = 12 AND c >= 2")
-add("nvals_filter", size("a:[] :: nvals(a.tags) > 1"), f"SELECT {N} AS size FROM t WHERE len(tags) > 1")
+add("string_functions", size('a:[] :: strlen(a.lemma) = 12 & f(a.lemma) >= 2'), places("t JOIN (SELECT lemma, count(*) AS c FROM t GROUP BY 1) USING (lemma) WHERE length(lemma) = 12 AND c >= 2", "pos", "pos"))
+add("nvals_filter", size("a:[] :: nvals(a.tags) > 1"), places("t WHERE len(tags) > 1", "pos", "pos"))
 
 # ---------------------------------------------------------------- alignment
 #: Tokens of the conversations table: a text is a conversation, a sentence region a turn.
 TALK = r"""
-WITH cl AS (SELECT conv_id, turn, role, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM conversations),
-c AS (SELECT conv_id, turn, role, conv_id || '-' || (turn // 2) AS tuid, unnest(list_filter(string_split_regex(line, '[ \t]+'), lambda x: x <> '')) AS form FROM cl),
-t AS (SELECT *, translate(regexp_replace(form, '^[.,|]+|[.,|]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lemma FROM c)
+WITH cd AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn, role, text) AS d FROM conversations),
+cl AS (SELECT d, conv_id, turn, role, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS k FROM cd),
+cw AS (SELECT *, list_filter(string_split_regex(line, '[ \t]+'), lambda x: x <> '') AS w FROM cl),
+c AS (SELECT d, k, conv_id, turn, role, conv_id || '-' || (turn // 2) AS tuid, unnest(w) AS form, unnest(range(len(w))) AS i FROM cw),
+t AS (SELECT *, row_number() OVER (ORDER BY d, k, i) - 1 AS pos, translate(regexp_replace(form, '^[.,|]+|[.,|]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lemma FROM c)
 """
-ALL["aligned_pairs"] = (size('a:[lemma="the" & s_role="user"] with b:[lemma="the" & s_role="assistant"]', table="conversations"), f"{TALK} SELECT {N} AS size FROM t a JOIN t b ON a.tuid = b.tuid WHERE a.lemma = 'the' AND b.lemma = 'the' AND a.role = 'user' AND b.role = 'assistant'")
-ALL["aligned_condition"] = (size('a:[lemma="of" & s_role="user"] with b:[lemma="of" & s_role="assistant"] :: a.s_tuid = b.s_tuid & a.form = b.form', table="conversations"), f"{TALK} SELECT {N} AS size FROM t a JOIN t b ON a.tuid = b.tuid AND a.form = b.form WHERE a.lemma = 'of' AND b.lemma = 'of' AND a.role = 'user' AND b.role = 'assistant'")
-ALL["aligned_named"] = (size('u:[lemma="of" & s_role="user"]; b:[lemma="the"] :: u.s_tuid = b.s_tuid & match.s_role = "assistant"', table="conversations"), f"{TALK} SELECT {N} AS size FROM t WHERE lemma = 'the' AND role = 'assistant' AND tuid IN (SELECT tuid FROM t WHERE lemma = 'of' AND role = 'user')")
+ALL["aligned_pairs"] = (size('a:[lemma="the" & s_role="user"] with b:[lemma="the" & s_role="assistant"]', table="conversations"), TALK + places("t a JOIN t b ON a.tuid = b.tuid WHERE a.lemma = 'the' AND b.lemma = 'the' AND a.role = 'user' AND b.role = 'assistant'", "a.pos", "a.pos"))
+ALL["aligned_condition"] = (size('a:[lemma="of" & s_role="user"] with b:[lemma="of" & s_role="assistant"] :: a.s_tuid = b.s_tuid & a.form = b.form', table="conversations"), TALK + places("t a JOIN t b ON a.tuid = b.tuid AND a.form = b.form WHERE a.lemma = 'of' AND b.lemma = 'of' AND a.role = 'user' AND b.role = 'assistant'", "a.pos", "a.pos"))
+ALL["aligned_named"] = (size('u:[lemma="of" & s_role="user"]; b:[lemma="the"] :: u.s_tuid = b.s_tuid & match.s_role = "assistant"', table="conversations"), TALK + places("t WHERE lemma = 'the' AND role = 'assistant' AND tuid IN (SELECT tuid FROM t WHERE lemma = 'of' AND role = 'user')", "pos", "pos"))
 
 # ------------------------------------------------------- dialects, sampling
 ALL["dialect_cwb"] = (program('[upos="DET"] [upos="NOUN"]; count by form', dialect="cwb", settings={"group_limit": 0}), sql(f"SELECT a.form, {N} AS count, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM t a JOIN t b ON b.pos = a.pos + 1 WHERE a.upos = 'DET' AND b.upos = 'NOUN' GROUP BY 1"))
@@ -207,12 +234,12 @@ def _dialect_size(dialect: str, text: str) -> Callable[[SparkSession, str], Data
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         s = session(spark, sf_dir)
         s.run(text, dialect)
-        return s.run("size")
+        return s.named["Last"].df.agg(F.count(F.lit(1)).alias("size"), *[F.coalesce(F.sum(F.expr(c)), F.lit(0)).alias(n) for n, c in PLACES.items()])
 
     return run
 
 
-ALL["dialect_tiger"] = (_dialect_size("tiger", "cat B4"), sql(f"SELECT {N} AS size FROM node WHERE type = 'B4'", NODES))
+ALL["dialect_tiger"] = (_dialect_size("tiger", "cat B4"), sql(places("node WHERE type = 'B4'", "s", "e"), NODES))
 ALL["dialect_pmltq"] = (program('a-node $n := [ upos = "ADJ" and lemma = "th.*" ] >> distinct $n.lemma, count(over $n.lemma)', dialect="pmltq", settings={"group_limit": 0}), sql(f"SELECT lemma AS n_lemma, {N} AS count, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM t WHERE upos = 'ADJ' AND regexp_full_match(lemma, 'th.*') GROUP BY 1"))
 
 
