@@ -60,6 +60,12 @@ def concordance_line(left: str, match: str, right: str, width: int = 40, marks:
     return f"{left[-width:]:>{width}} {marks[0]}{match}{marks[1]} {right[:width]}".rstrip()
 
 
+def lines(found: DataFrame, width: int = 40, marks: tuple[str, str] = ("<", ">")) -> DataFrame:
+    """first, last, line of each row of `kwic`: `concordance_line` as an expression."""
+    line = F.concat(F.lpad(F.right("left", F.lit(width)), width, " "), F.lit(f" {marks[0]}"), F.col("match"), F.lit(f"{marks[1]} "), F.left("right", F.lit(width)))
+    return found.select("first", "last", F.rtrim(line).alias("line"))
+
+
 def hits(low: Lowering, m: Matches, context: int = 5, offset: int = 0, limit: int | None = 20) -> DataFrame:
     """One JSON record a match: doc_id, match_start, match_end, context, tokens (missing values left out)."""
     m = page(m, offset, limit)

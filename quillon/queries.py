@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import reader_queries
+from .corpus import Corpus
 from .operators import aggregate, display
 from .session import Session
 from .sources.tables import corpus_of
@@ -226,6 +229,72 @@ ALL["aligned_pairs"] = (size('a:[lemma="the" & s_role="user"] with b:[lemma="the
 ALL["aligned_condition"] = (size('a:[lemma="of" & s_role="user"] with b:[lemma="of" & s_role="assistant"] :: a.s_tuid = b.s_tuid & a.form = b.form', table="conversations"), TALK + places("t a JOIN t b ON a.tuid = b.tuid AND a.form = b.form WHERE a.lemma = 'of' AND b.lemma = 'of' AND a.role = 'user' AND b.role = 'assistant'", "a.pos", "a.pos"))
 ALL["aligned_named"] = (size('u:[lemma="of" & s_role="user"]; b:[lemma="the"] :: u.s_tuid = b.s_tuid & match.s_role = "assistant"', table="conversations"), TALK + places("t WHERE lemma = 'the' AND role = 'assistant' AND tuid IN (SELECT tuid FROM t WHERE lemma = 'of' AND role = 'user')", "pos", "pos"))
 
+# --------------------------------------------------- variants and functions
+counted("pred_negated_regex", '[upos="VERB" & form!=/tion/]', "t WHERE upos = 'VERB' AND NOT regexp_matches(form, 'tion')")
+counted("pred_bare_word", '"the"', "(SELECT e, unnest(generate_series(s, e, 100)) AS a FROM r)", RUNS.replace("upos = 'NOUN'", "form = 'the'"), at=("a", "least(a + 99, e)"))
+counted("tree_no_head", '[upos="NOUN"] !< [upos="VERB"]', "t a LEFT JOIN t b ON b.pos = a.head_pos AND b.upos = 'VERB' WHERE a.upos = 'NOUN' AND b.pos IS NULL", at=("a.pos", "a.pos"))
+counted("not_containing_region", '[upos="NOUN"] [] [] not containing node_type="B2"', "t WHERE upos = 'NOUN' AND pos + 2 < (SELECT n FROM tot) AND pos NOT IN (SELECT p FROM (SELECT pos AS p, unnest([pos, pos + 1, pos + 2]) AS q FROM t WHERE upos = 'NOUN') JOIN node ON node.s = q AND node.e <= p + 2 AND type = 'B2')", NODES, at=("pos", "pos + 2"))
+add("region_innermost", program('n:<node> [upos="DET"]; count by n.type', settings={"anchor_binding": "innermost"}), f"SELECT type AS n_type, {N} AS count, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM (SELECT pos, type, row_number() OVER (PARTITION BY pos ORDER BY e - s, CASE type WHEN 'S' THEN 0 WHEN 'B4' THEN 1 ELSE 2 END) AS k FROM t JOIN node ON node.s = t.pos WHERE upos = 'DET') WHERE k = 1 GROUP BY 1", NODES)
+add("region_fanout", program('n:<node> [upos="DET"]; count by n.type'), f"SELECT type AS n_type, {N} AS count, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM t JOIN node ON node.s = t.pos WHERE upos = 'DET' GROUP BY 1", NODES)
+counted("peer_contains", 'x:<node type="B2"> y:<node type="S" contains(x)> []', "sents WHERE n > 2", at=("start", "start"))
+counted("peer_rchild", 'x:<node type="S"> [] [] y:<node type="B2" rchild(x)> []', "sents WHERE n IN (3, 4)", at=("start", "start + 2"))
+counted("peer_rcontains", 'x:<node type="B2"> y:<node type="S" rcontains(x)> []', "sents WHERE n > 2", at=("start", "start"))
+counted("contains_filter", 'x:<node type="B4"> y:<gap> :: contains(x, y) = 1', "sents WHERE n >= 6", at=("start", "start + 3"))
+counted("rcontains_filter", 'x:<node type="S"> y:<node type="B2"> :: rcontains(x, y) = 1', "(SELECT start, n, unnest(generate_series(start, start + n - 1, 2)) FROM sents WHERE n > 2)", at=("start", "start + n - 1"))
+
+
+def _within_by_default(spark: SparkSession, sf_dir: str):
+    c = corpus_of(spark, sf_dir)
+    return Corpus(c.tokens, c.structs, replace(c.meta, default_within="s"), c.groups)
+
+
+def _some_texts(spark: SparkSession, sf_dir: str):
+    """The tokens of the corpus with the French texts as its only regions."""
+    c = corpus_of(spark, sf_dir)
+    tokens = c.tokens.drop(*[x for x in c.tokens.columns if x.startswith(("r_", "pair_"))])
+    return Corpus.from_dataframes(tokens, {"text": c.structs["text"].filter("lang = 'fr'").drop("parent_idx")}, multivalue=("tags",))
+
+
+counted("default_within", '[upos="DET"] [upos="NOUN"]', "t a JOIN t b ON b.pos = a.pos + 1 AND a.sent_id = b.sent_id WHERE a.upos = 'DET' AND b.upos = 'NOUN'", corpus=_within_by_default)
+add("count_without_region", lambda spark, sf_dir: Session(_some_texts(spark, sf_dir)).run('[upos="ADJ"]; count by text_lang'), f"SELECT lang AS text_lang, {N} AS count, 100.0::DOUBLE AS pct FROM t JOIN d USING (doc_id) WHERE upos = 'ADJ' AND lang = 'fr' GROUP BY 1")
+
+
+def _totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = session(spark, sf_dir)
+    m = s.query('[upos="ADJ"]')
+    return spark.createDataFrame([(str(most), *s.count_total(m, most)) for most in (None, 10)], "most string, total long, exact boolean")
+
+
+add("count_total", _totals, f"SELECT 'None' AS most, {N} AS total, true AS exact FROM t WHERE upos = 'ADJ' UNION ALL SELECT '10', CAST(least(count(*), 10) AS BIGINT), count(*) <= 10 FROM t WHERE upos = 'ADJ'")
+add("sorted_matches", lambda spark, sf_dir: session(spark, sf_dir).run('[upos="ADJ"]; sort by lemma').limit(50).select("first", "last"), "SELECT pos AS first, pos AS last FROM t WHERE upos = 'ADJ' ORDER BY lemma, pos LIMIT 50")
+SUBTREES = """
+x AS (SELECT a.pos, a.i, a.form, a.lemma, b.form AS bf, b.lemma AS bl, c.form AS cf, c.lemma AS cl FROM t a JOIN t b ON b.head_pos = a.pos AND b.i = 2 * a.i JOIN t c ON c.head_pos = a.pos AND c.i = 2 * a.i + 1 WHERE a.upos = 'ADJ' AND 4 * a.i > a.sent_n)
+"""
+add("forms_and_spellout", program('V = [upos="ADJ"]; x = dep_subtree(V) :: tcnt(x) = 3; tabulate 0 50 forms(x), spellout(x, lemma)', {"forms(x)": "forms", "spellout(x,lemma)": "lemmas"}), "SELECT form || CASE WHEN i = 1 THEN ' ' ELSE ' ... ' END || bf || ' ' || cf AS forms, lemma || CASE WHEN i = 1 THEN ' ' ELSE ' ... ' END || bl || ' ' || cl AS lemmas FROM x ORDER BY pos LIMIT 50", SUBTREES)
+add("tabulate_sets", lambda spark, sf_dir: display.tabulate((s := session(spark, sf_dir)).lowering(), s.query('[upos="ADJ"]'), ("form", "tags"), 0, 50, arrays=True), "SELECT form, list_sort(tags) AS tags FROM t WHERE upos = 'ADJ' ORDER BY pos LIMIT 50")
+AROUND = """
+k AS (SELECT p.*, (SELECT coalesce(string_agg(b.form, ' ' ORDER BY b.pos), '') FROM t b WHERE b.pos BETWEEN p.pos - 5 AND p.pos - 1) AS lc, (SELECT coalesce(string_agg(b.form, ' ' ORDER BY b.pos), '') FROM t b WHERE b.pos BETWEEN p.pos + 1 AND p.pos + 5) AS rc FROM (SELECT * FROM t WHERE upos = 'ADJ' ORDER BY pos LIMIT 20) p)
+"""
+add("kwic_lines", lambda spark, sf_dir: display.lines(display.kwic((s := session(spark, sf_dir)).lowering(), s.query('[upos="ADJ"]')), 40), "SELECT pos AS first, pos AS last, rtrim(lpad(right(lc, 40), 40, ' ') || ' <' || form || '> ' || left(rc, 40), ' ') AS line FROM k", AROUND)
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = session(spark, sf_dir)
+    got = display.hits(s.lowering(), s.query('[upos="ADJ"]'))
+    kind = "doc_id long, match_start long, match_end long, context struct<left string, match string, right string>, tokens array<struct<pos long, form string, lemma string, tags string>>"
+    return got.select(F.from_json("hit", kind).alias("h")).select("h.doc_id", "h.match_start", "h.match_end", "h.context.left", "h.context.match", "h.context.right", F.expr("h.tokens[0].lemma").alias("lemma"), F.coalesce(F.expr("h.tokens[0].tags"), F.lit("")).alias("tags"), F.size("h.tokens").cast("long").alias("n"))
+
+
+add("json_hits", _hits, "SELECT doc_id, pos AS match_start, pos AS match_end, lc AS left, form AS match, rc AS right, lemma, array_to_string(list_filter([CASE WHEN length(lemma) % 2 = 0 THEN 'even' END, CASE WHEN length(lemma) % 3 = 0 THEN 'three' END, CASE WHEN starts_with(lemma, 't') THEN 'tee' END], lambda x: x IS NOT NULL), '|') AS tags, CAST(1 AS BIGINT) AS n FROM k", AROUND)
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session(spark, sf_dir, "conversations").run('a:[lemma="of" & s_role="user"] with b:[lemma="the" & s_role="assistant"]').select("a_first", "a_last", "b_first", "b_last")
+
+
+ALL["pairs"] = (_pairs, f"{TALK} SELECT a.pos AS a_first, a.pos AS a_last, b.pos AS b_first, b.pos AS b_last FROM t a JOIN t b ON a.tuid = b.tuid WHERE a.lemma = 'of' AND b.lemma = 'the' AND a.role = 'user' AND b.role = 'assistant'")
+ALL["aligned_multivalue"] = (size('a:[lemma="the" & s_role="user"] with b:[upos="ADP" & s_role="assistant"] :: a.tags = b.tags & a.s_tuid = b.s_tuid', table="conversations"), TALK + places("t a JOIN t b ON a.tuid = b.tuid WHERE a.lemma = 'the' AND a.role = 'user' AND b.role = 'assistant' AND length(b.lemma) IN (3, 4) AND NOT regexp_matches(b.form, '^[.,|]+$') AND (length(b.lemma) = 3 OR starts_with(b.lemma, 't'))", "a.pos", "a.pos"))
+
 # ------------------------------------------------------- dialects, sampling
 ALL["dialect_cwb"] = (program('[upos="DET"] [upos="NOUN"]; count by form', dialect="cwb", settings={"group_limit": 0}), sql(f"SELECT a.form, {N} AS count, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 6) AS pct FROM t a JOIN t b ON b.pos = a.pos + 1 WHERE a.upos = 'DET' AND b.upos = 'NOUN' GROUP BY 1"))
 
@@ -251,12 +320,30 @@ def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL["sample"] = (_sample, None)
 
 
+def _sample_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many matches a sample has, how many are different, and how many are matches of the query."""
+    every = session(spark, sf_dir).query('[upos="ADJ"]').df.select("first", F.lit(1).alias("there"))
+    got = _sample(spark, sf_dir).join(every, "first", "left")
+    return got.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("first").alias("different"), F.count("there").alias("inside"))
+
+
+add("sample_facts", _sample_facts, "SELECT CAST(least(100, count(*)) AS BIGINT) AS n, CAST(least(100, count(*)) AS BIGINT) AS different, CAST(least(100, count(*)) AS BIGINT) AS inside FROM t WHERE upos = 'ADJ'")
+
+
 def _conllu(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = session(spark, sf_dir)
     return display.conllu(s.lowering(), s.query('[upos="ADJ"] [upos="ADJ"]'))
 
 
-ALL["conllu_of_matches"] = (_conllu, None)
+PRINTED = """
+hit AS (SELECT a.sent_id, a.i FROM t a JOIN t b ON b.pos = a.pos + 1 WHERE a.upos = 'ADJ' AND b.upos = 'ADJ' UNION SELECT b.sent_id, b.i FROM t a JOIN t b ON b.pos = a.pos + 1 WHERE a.upos = 'ADJ' AND b.upos = 'ADJ'),
+marks AS (SELECT sent_id, string_agg(CAST(i AS VARCHAR), ',' ORDER BY i) AS m FROM hit GROUP BY 1),
+print AS (SELECT sent_id, string_agg(concat_ws(chr(9), i, form, lemma, upos, '_', 'Init=' || left(lemma, 1) || '|Len=' || length(lemma), i // 2, deprel, '_', '_'), chr(10) ORDER BY i) AS rows FROM t GROUP BY 1)
+"""
+add("conllu_of_matches", _conllu, "SELECT sent_id, '# sent_id = ' || sent_id || chr(10) || '# match_tokens = ' || m || chr(10) || rows || chr(10) AS conllu FROM marks JOIN print USING (sent_id)", PRINTED)
+
+
+ALL |= reader_queries.queries_with_sql(sql)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

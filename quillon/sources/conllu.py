@@ -104,5 +104,5 @@ def parse(text: str, b: Builder, split_feats: bool = False) -> None:
         flush()
 
 
-def read(spark: SparkSession, paths: str | list[str], split_feats: bool = False, **options) -> Corpus:
-    return assemble(read_files(spark, paths, lambda text, b: parse(text, b, split_feats), "*.conllu"), **options)
+def read(spark: SparkSession, paths: str | list[str], split_feats: bool = False, pattern: str = "*.conllu", **options) -> Corpus:
+    return assemble(read_files(spark, paths, lambda text, b: parse(text, b, split_feats), pattern), **options)

@@ -75,13 +75,13 @@ def parse(text: str, b: Builder) -> None:
     sentence()
 
 
-def read(spark: SparkSession, paths: str | list[str], **options) -> Corpus:
-    return assemble(read_files(spark, paths, parse, "*.jsonl"), **options)
+def read(spark: SparkSession, paths: str | list[str], pattern: str = "*.jsonl", **options) -> Corpus:
+    return assemble(read_files(spark, paths, parse, pattern), **options)
 
 
-def read_overlay(spark: SparkSession, paths: str | list[str], size: int) -> Corpus:
+def read_overlay(spark: SparkSession, paths: str | list[str], size: int, pattern: str = "*.jsonl") -> Corpus:
     """A stand-off layer: regions and groups over `size` tokens of another corpus, which its header must count."""
-    rows = read_files(spark, paths, parse, "*.jsonl").cache()
+    rows = read_files(spark, paths, parse, pattern).cache()
     counts = {json.loads(r[0]) for r in rows.filter("kind = 'meta'").selectExpr("attrs['token_count']").collect() if r[0]}
     if counts and counts != {size}:
         raise CorpusError(f"the overlay counts {sorted(counts)} tokens, the corpus {size}")

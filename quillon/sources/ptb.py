@@ -41,5 +41,5 @@ def parse(text: str, b: Builder, attribute: str = "upos") -> None:
         raise CorpusError("a bracket is missing")
 
 
-def read(spark: SparkSession, paths: str | list[str], attribute: str = "upos", **options) -> Corpus:
-    return assemble(read_files(spark, paths, lambda text, b: parse(text, b, attribute), "*.{psd,mrg,ptb}"), modes={"node": "nested"}, **options)
+def read(spark: SparkSession, paths: str | list[str], attribute: str = "upos", pattern: str = "*.{psd,mrg,ptb}", **options) -> Corpus:
+    return assemble(read_files(spark, paths, lambda text, b: parse(text, b, attribute), pattern), modes={"node": "nested"}, **options)

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..corpus import Corpus
+from ..corpus import Corpus, CorpusError
 from ..functions.text import fold_case, numbered, prefix_sums
 
 _known: dict[tuple[str, str, str], Corpus] = {}
@@ -46,7 +46,7 @@ def lines_to_tokens(rows: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]
 def document_corpus(spark: SparkSession, docs: DataFrame) -> Corpus:
     """text (lang, source), s (len), nested node (type S, B4, B2), overlapping win (k), zero-width gap, group pair (type)."""
     tokens, sents = lines_to_tokens(docs.select("doc_id", "text"), docs.count())
-    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     tokens.write.parquet(f"{path}/raw"), sents.write.parquet(f"{path}/sents")
     tokens, sents = spark.read.parquet(f"{path}/raw"), spark.read.parquet(f"{path}/sents")
     spans = sents.groupBy("doc_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
@@ -66,7 +66,7 @@ def document_corpus(spark: SparkSession, docs: DataFrame) -> Corpus:
 
 def conversation_corpus(spark: SparkSession, turns: DataFrame) -> Corpus:
     """text = conversation, s = turn with role and tuid: turns 2k and 2k+1 of a conversation share one."""
-    path = f"{_scratch(spark)}/{uuid.uuid4().hex}"
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     rows = numbered(turns.select("conv_id", "turn", "role", "text"), ["conv_id", "turn", "role", "text"], "doc_id", f"{path}/turns")
     tokens, sents = lines_to_tokens(rows.select("doc_id", "text"), rows.count())
     tokens.write.parquet(f"{path}/raw"), sents.write.parquet(f"{path}/sents")
@@ -79,11 +79,14 @@ def conversation_corpus(spark: SparkSession, turns: DataFrame) -> Corpus:
     return Corpus.from_dataframes(tokens, {"text": text, "s": s}, multivalue=("tags",)).save(f"{path}/corpus")
 
 
-def _scratch(spark: SparkSession) -> str:
-    path = spark.conf.get("spark.checkpoint.dir", None)
+def scratch(spark: SparkSession) -> str:
+    """A folder for corpora where the driver and all executors see it; a machine's own folder serves local sessions alone."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise CorpusError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        spark.sparkContext.setCheckpointDir(path)
     return f"{path}/corpora"
 
 

@@ -55,5 +55,5 @@ def parse(text: str, b: Builder) -> None:
         b.end_sentence(getattr(b, "pending", {}))
 
 
-def read(spark: SparkSession, paths: str | list[str], **options) -> Corpus:
-    return assemble(read_files(spark, paths, parse, "*.{vrt,vert,txt}"), **options)
+def read(spark: SparkSession, paths: str | list[str], pattern: str = "*.{vrt,vert,txt}", **options) -> Corpus:
+    return assemble(read_files(spark, paths, parse, pattern), **options)
