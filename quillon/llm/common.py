@@ -61,7 +61,19 @@ def materialize(df: DataFrame, name: str, sort: list[str] | None = None) -> Data
     spark = df.sparkSession
     path = scratch(spark, name)
     (df.sortWithinPartitions(*sort) if sort else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more: all that came of them is written itself."""
+    for table in tables:
+        path = getattr(table, "scratch_path", None)
+        if path:
+            sc = table.sparkSession.sparkContext
+            where = sc._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def count_rows(df: DataFrame) -> int:

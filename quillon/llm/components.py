@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_groups, materialize
+from .common import attach_groups, discard, materialize
 
 
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -32,6 +32,8 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         moved = attach_groups(mine, jumps, "label", "n", total).select("a", "degree", "old", F.least("label", F.coalesce("next", "label")).alias("label"))
         moved = materialize(moved, "cc-labels")
         changed = moved.filter("old <> label").limit(1).count()
-        labels = moved.drop("old")
+        discard(labels, mine, jumps)
+        labels = moved
         if not changed:
+            discard(edges)
             return labels.select(F.col("a").alias("node"), F.col("label").alias("component"))

@@ -1,13 +1,15 @@
 """Exact deduplication by two-pass Bloom filtering. DataFrame functions only.
 
-Pass 1 hashes every normalised text and builds, relationally, a Bloom filter whose bits say
-"at least two rows hashed here"; its 32768-bit pages are bitmaps of `bitmap_construct_agg`.
-Pass 2 tests every row against the broadcast filter: only rows whose probes are all set may be
-repeated and shuffle; the rest pass straight through as groups of one.
+Pass 1 hashes every normalised text and builds, relationally, a blocked Bloom filter whose bits say
+"at least two rows hashed here": a row's hash names a page of 32768 bits and `PROBES` bits in it.
+The narrow (page, bit) pairs of all rows shuffle for that, combined before they do, no row or text.
+Pass 2 tests every row against the filter: only rows whose bits are all set may be repeated and
+shuffle; the rest pass straight through as groups of one.
 
-The filter's size is bounded (`filter_bits`, 8 MB): more rows than it serves are handled in
-slices of the hash space, one filter after the other, each reading its own range of the table,
-which is written sorted by hash so that Parquet statistics prune the others.
+The filter grows with the rows, by `bits_per_row`. Up to `filter_bits` (32 MB, 16 million rows) its
+pages are broadcast. A larger one meets the rows by page in a join: one plan whatever the size, but
+every row that is tested then shuffles once, in `exact_dedup` as a narrow row of ids and a hash,
+in `drop_exact_copies` with its text. Texts are read once by the one and twice by the other.
 
 Defined results: null text counts as empty text; null ids sort last, so a group of nulls alone
 keeps one of its rows with a null keep_id; of repeated rows with one id, one stays; an empty
@@ -19,10 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WS, attach_groups, count_rows, documents, materialize
+from .common import WS, attach_groups, count_rows, discard, documents, materialize
 
 PAGE = 32768
 PROBES = 2
+#: The largest filter that is broadcast, in bits.
+FILTER_BITS = 1 << 28
 
 
 def text_digest(text: Column) -> Column:
@@ -36,81 +40,68 @@ def raw_digest(text: Column) -> Column:
     return F.concat_ws(":", F.sha2(text, 256), F.octet_length(text))
 
 
-def _cells(bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64("sha", F.lit(k + 1)), F.lit(bits)) for k in range(PROBES)]
+def _page(pages: int) -> Column:
+    return F.pmod(F.xxhash64("sha", F.lit(0)), F.lit(pages)).alias("page")
 
 
-def _repeated_cells(part: DataFrame, bits: int) -> DataFrame:
-    """Pages of the filter: the cells to which at least two rows hash. At most bits/PAGE rows of 4 KB."""
-    cell = part.select(F.explode(F.array_distinct(F.array(*_cells(bits)))).alias("cell"))
-    twice = cell.groupBy("cell").count().filter("count > 1")
-    page = twice.groupBy(F.expr(f"cell div {PAGE}").alias("page"))
-    return page.agg(F.expr(f"bitmap_construct_agg(cell % {PAGE})").alias("bitmap"))
+def _bit(k: int) -> Column:
+    return F.pmod(F.xxhash64("sha", F.lit(k + 1)), F.lit(PAGE)).cast("int")
 
 
-def maybe_repeated(part: DataFrame, bits: int) -> DataFrame:
-    """`part` with a boolean column `maybe`: true for every row whose `sha` occurs twice, and for few others."""
-    pages = _repeated_cells(part, bits)
-    out = part
-    for k, cell in enumerate(_cells(bits)):
-        at = pages.select(F.col("page").alias(f"page_{k}"), F.col("bitmap").alias(f"bitmap_{k}"))
-        out = out.withColumn(f"cell_{k}", cell).withColumn(f"page_{k}", F.expr(f"cell_{k} div {PAGE}")).join(F.broadcast(at), f"page_{k}", "left")
-    bit = " AND ".join(f"coalesce((shiftright(cast(conv(hex(substring(bitmap_{k}, cast((cell_{k} % {PAGE}) div 8 as int) + 1, 1)), 16, 10) as int), cast(cell_{k} % 8 as int)) & 1) = 1, false)" for k in range(PROBES))
-    return out.select(*part.columns, F.expr(bit).alias("maybe"))
+def _repeated_cells(rows: DataFrame, pages: int) -> DataFrame:
+    """Pages of the filter, 4 KB each: the bits to which at least two rows hash."""
+    cell = rows.select(_page(pages), F.explode(F.array_distinct(F.array(*[_bit(k) for k in range(PROBES)]))).alias("bit"))
+    twice = cell.groupBy("page", "bit").count().filter("count > 1")
+    return twice.groupBy("page").agg(F.expr("bitmap_construct_agg(bit)").alias("bitmap"))
 
 
-def _slices(rows: int, bits_per_row: int, filter_bits: int) -> tuple[int, int]:
-    n = max(1, -(-rows * bits_per_row // filter_bits))
-    return n, min(filter_bits, max(PAGE, 1 << (max(1, rows * bits_per_row // n) - 1).bit_length()))
+def maybe_repeated(rows: DataFrame, n: int, bits_per_row: int, filter_bits: int, hashed: DataFrame | None = None) -> DataFrame:
+    """`rows` with a boolean column `maybe`: true for every row whose `sha` occurs twice, and for few others.
 
-
-def exact_groups(narrow: DataFrame, rows: int, bits_per_row: int = 16, filter_bits: int = 1 << 26) -> DataFrame:
-    """`narrow` (doc_id, rid, sha, h) with keep_id, group_size and kept. It must be a written table."""
-    n, bits = _slices(rows, bits_per_row, filter_bits)
-    out = None
-    for k in range(n):
-        low, high = (-(2**63) + (2**64) * k // n, -(2**63) + (2**64) * (k + 1) // n - 1)
-        part = narrow if n == 1 else narrow.filter(F.col("h").between(low, high))
-        tested = materialize(maybe_repeated(part, bits), "exact-tested")
-        flagged = tested.filter("maybe").select("doc_id", "rid", "sha")
-        alone = tested.filter("NOT maybe").select("doc_id", "rid", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
-        groups = flagged.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("group_size"))
-        groups = materialize(groups, "exact-groups")
-        met = attach_groups(flagged, groups, "sha", "group_size", rows)
-        met = met.select("doc_id", "rid", "sha", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("best.rid") == F.col("rid")).alias("kept"))
-        both = alone.unionByName(met)
-        out = both if out is None else out.unionByName(both)
-    return out
+    `hashed` has the `sha` of each of the n rows, if there is a narrower table of them.
+    """
+    pages = max(1, -(-n * bits_per_row // PAGE))
+    found = materialize(_repeated_cells(rows if hashed is None else hashed, pages), "exact-pages")
+    if pages * PAGE <= filter_bits:
+        found = F.broadcast(found)
+    bit = " AND ".join(f"(shiftright(cast(conv(hex(substring(bitmap, bit_{k} div 8 + 1, 1)), 16, 10) as int), bit_{k} % 8) & 1) = 1" for k in range(PROBES))
+    probed = rows.withColumns({"page": _page(pages), **{f"bit_{k}": _bit(k) for k in range(PROBES)}})
+    return probed.join(found, "page", "left").select(*rows.columns, F.coalesce(F.expr(bit), F.lit(False)).alias("maybe"))
+
+
+def exact_groups(narrow: DataFrame, rows: int, bits_per_row: int = 16, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """`narrow` (doc_id, rid, sha) with keep_id, group_size and kept. It must be a written table."""
+    tested = materialize(maybe_repeated(narrow, rows, bits_per_row, filter_bits), "exact-tested")
+    flagged = tested.filter("maybe").select("doc_id", "rid", "sha")
+    alone = tested.filter("NOT maybe").select("doc_id", "rid", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
+    groups = flagged.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("best"), F.count(F.lit(1)).alias("group_size"))
+    groups = materialize(groups, "exact-groups")
+    met = attach_groups(flagged, groups, "sha", "group_size", rows)
+    met = met.select("doc_id", "rid", "sha", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("best.rid") == F.col("rid")).alias("kept"))
+    discard(narrow)
+    return alone.unionByName(met)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest=text_digest, **sizes) -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text)."""
-    narrow = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("sha")).withColumn("rid", F.monotonically_increasing_id()).withColumn("h", F.xxhash64("sha"))
-    narrow = materialize(narrow, "exact-narrow", sort=["h"])
+    narrow = docs.select(F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("sha")).withColumn("rid", F.monotonically_increasing_id())
+    narrow = materialize(narrow, "exact-narrow")
     found = exact_groups(narrow, count_rows(narrow), **sizes)
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
 
 
-def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, filter_bits: int = 1 << 26, digest=text_digest) -> DataFrame:
+def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, filter_bits: int = FILTER_BITS, digest=text_digest) -> DataFrame:
     """`docs` with one row of each group of equal texts: the smallest id, nulls last.
 
     Flagged rows are combined to the winner before they shuffle, so a hot group costs one row a task;
-    unflagged rows, texts included, never shuffle. For more rows than one filter serves, slices follow
-    each other over the hash space.
+    unflagged rows, texts included, do not shuffle while the filter is broadcast.
     """
-    marked = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("sha")).withColumn("h", F.xxhash64("sha"))
-    rows = docs.count()
-    n, bits = _slices(rows, bits_per_row, filter_bits)
-    out = None
-    for k in range(n):
-        low, high = (-(2**63) + (2**64) * k // n, -(2**63) + (2**64) * (k + 1) // n - 1)
-        tested = maybe_repeated(marked if n == 1 else marked.filter(F.col("h").between(low, high)), bits)
-        alone = tested.filter("NOT maybe").select("row.*")
-        order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
-        won = tested.filter("maybe").groupBy("sha").agg(F.min_by("row", order).alias("row")).select("row.*")
-        both = alone.unionByName(won)
-        out = both if out is None else out.unionByName(both)
-    return out
+    hashed = docs.select(digest(F.col(text_col)).alias("sha"))
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("doc_id"), digest(F.col(text_col)).alias("sha"))
+    tested = maybe_repeated(marked, docs.count(), bits_per_row, filter_bits, hashed)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"))
+    won = tested.filter("maybe").groupBy("sha").agg(F.min_by("row", order).alias("row")).select("row.*")
+    return tested.filter("NOT maybe").select("row.*").unionByName(won)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach_groups, documents, materialize, released
+from .common import attach_groups, discard, documents, materialize, released
 from .components import components
 
 WORDS = 5
@@ -228,7 +228,7 @@ class NearDuplicates:
         source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("k1", F.xxhash64("doc_id", "text")).withColumn("k2", F.xxhash64("text", "doc_id", F.lit(7)))
         rows = sketches(source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "k1", "k2", "text"))
         sketched = materialize(rows, "near-sketches")
-        self.docs = sketched.drop("bands")
+        self.docs = materialize(sketched.drop("bands"), "near-rows")
         self.rows = sketched.count()
         least = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "k1", "k2", "n")
         classes = sketched.filter("n > 0").groupBy("set_key").agg(F.min(least).alias("best"), F.count(F.lit(1)).alias("copies"))
@@ -236,10 +236,12 @@ class NearDuplicates:
         # one of each class: its row is known by rid
         kept = sketched.select("rid", "n", "bands").join(classes.select(F.col("cid").alias("rid")), "rid")
         members = kept.select(F.explode("bands").alias("key"), F.col("rid").alias("cid"), "n")
-        members = materialize(members, "near-members")
+        every = members = materialize(members, "near-members")
+        discard(sketched)
         buckets = members.groupBy("key").agg(F.min(F.struct("cid", "n")).alias("pivot"), F.count(F.lit(1)).alias("members")).filter("members > 1")
         buckets = materialize(buckets.select("key", "members", F.col("pivot.cid").alias("pivot"), F.col("pivot.n").alias("pivot_n")), "near-buckets")
         members = materialize(attach_groups(members, buckets, "key", "members", members.count()).filter("pivot IS NOT NULL"), "near-met")
+        discard(every, buckets)
         wanted = members.select("cid").distinct().join(classes.select("cid", "k1", "k2"), "cid")
         found = source.join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("cid", "text")
         sets = materialize(with_sets(found), "near-sets")
@@ -248,17 +250,23 @@ class NearDuplicates:
         hubs = materialize(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("times")).join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b"), "near-hubs")
         sided = attach_groups(pairs, hubs, "b", "times", pairs.count(), share=50).join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a")
         links = materialize(confirmed(sided, percent), "near-links")
+        discard(pairs, hubs)
         first = components(links)
         known = materialize(members.select("key", "cid", "n").join(first.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid")), "near-known")
+        discard(members)
         more = materialize(remaining_links(known, sets, percent, block), "near-more")
+        discard(known, sets)
         if more.limit(1).count():
             first = components(links.unionByName(more))
         joined = classes.join(first.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        met = classes
         joined = materialize(joined, "near-joined")
+        discard(links, more, met)
         best = joined.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col("cid").alias("rid"))).alias("best"), F.count(F.lit(1)).alias("n_classes"))
         best = materialize(best, "near-best")
         classes = attach_groups(joined, best, "component", "n_classes", joined.count())
         self.classes = materialize(classes.select("set_key", "copies", F.col("best.doc_id").alias("component_id"), F.col("best.rid").alias("keep_rid")), "near-groups")
+        discard(joined, best)
 
     def resolved(self) -> DataFrame:
         """rid, doc_id, k1, k2, n, component_id, keep_rid of every row."""
@@ -274,7 +282,9 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """`docs` with one row of each group of near-duplicates: the smallest id, nulls last."""
-    rows = materialize(NearDuplicates(docs, id_col=id_col, text_col=text_col, **options).resolved(), "near-resolved")
+    found = NearDuplicates(docs, id_col=id_col, text_col=text_col, **options)
+    rows = materialize(found.resolved(), "near-resolved")
+    discard(found.docs, found.classes)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(id_col).cast("long"), text).alias("k1"), F.xxhash64(text, F.col(id_col).cast("long"), F.lit(7)).alias("k2"))
     gone = rows.filter("rid <> keep_rid").select("k1", "k2").distinct()
