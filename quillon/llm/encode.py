@@ -16,9 +16,11 @@ import re
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes that the memo of one Python worker may take, by estimate; a full memo starts afresh.
-MEMO = 64 << 20
+MEMO = 112 << 20
 #: What an entry takes besides its unit and its ids.
 ENTRY = 160
 #: Longer units are not kept.
@@ -77,7 +79,10 @@ class Encoder:
         self.edge = np.zeros(max(vocab.values()) + 1, bool)
         self.edge[[i for t, i in vocab.items() if (t.startswith("\u0120") if kind == "byte" else t.endswith("</w>"))]] = True
         self.ends = kind == "word"
-        self.most, self.memo, self.held = memo, {}, 0
+        white = r"\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+        tokens = "|".join(re.escape(t) for t in self.added) or "[^\\s\\S]"
+        self.odd = tokens if kind == "word" else rf"{tokens}|[{white}]|\s (?:\s|$)|  "
+        self.most, self.memo, self.held = memo, {"": b""}, 0
 
     def _single(self, units: list[str]) -> None:
         for k in range(0, len(units), 4096):
@@ -88,7 +93,7 @@ class Encoder:
     def _joined(self, units: list[str]) -> None:
         for k in range(0, len(units), 512):
             part = units[k : k + 512]
-            ids = np.array(self.tokenizer.encode(self.joint.join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tokenizer.encode_batch_fast([self.joint.join(part)], add_special_tokens=False)[0].ids, "<u4")
             edges = np.flatnonzero(self.edge[ids])
             if len(edges) != len(part):
                 self._single(part)
@@ -125,21 +130,46 @@ class Encoder:
             return self.units(text)
         return [u for k, x in enumerate(self.part.split(text)) for u in ([x] if k % 2 else self.units(x))]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self._cut(t or "") for t in texts]
-        every = set().union(*cut)
-        new = every.difference(self.memo)
+    def known(self, units: list[str]) -> list[bytes]:
+        """The ids of units, out of the memo or learned now."""
         if self.held > self.most:
-            self.memo, self.held, new = {}, 0, every
-        self.learn(new)
+            self.memo, self.held = {"": b""}, 0
         memo = self.memo
-        get = memo.__getitem__
-        out = [b"".join(map(get, units)) for units in cut]
-        for unit in new:
-            if len(unit) > LONGEST:
-                del memo[unit]
-            else:
-                self.held += ENTRY + len(unit) + len(memo[unit])
+        new = {u for u in units if u not in memo}
+        if new:
+            self.learn(new)
+            self.held += ENTRY * len(new) + 2 * sum(map(len, new))
+        out = list(map(memo.__getitem__, units))
+        for unit in [u for u in new if len(u) > LONGEST]:
+            memo.pop(unit, None)
+        return out
+
+    def _one(self, text: str) -> bytes:
+        units = self._cut(text)
+        every = list(set(units))
+        return b"".join(map(dict(zip(every, self.known(every), strict=True)).__getitem__, units))
+
+    def encode(self, texts: pa.Array | list[str | None]) -> list[bytes]:
+        """Texts without odd white space or added tokens are cut, and their ids put together, as Arrow arrays."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        texts = pc.fill_null(texts, "")
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False))
+        even = pc.replace_with_mask(texts, pa.array(np.isin(np.arange(len(texts)), odd)), "") if len(odd) else texts
+        lists = pc.ascii_split_whitespace(even) if self.ends else pc.split_pattern(even, " ")
+        ends, pieces = lists.offsets.to_numpy(), lists.values
+        coded = pieces.dictionary_encode()
+        codes, units = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+        if not self.ends:
+            # the first piece of a text has no space before it
+            first = pieces.take(pa.array(ends[:-1])).to_pylist()
+            codes[ends[:-1]] = len(units) + np.arange(len(first))
+            units = [" " + u for u in units] + first
+        got = pa.array(self.known(units), pa.large_binary()).take(pa.array(codes))
+        at = np.frombuffer(got.buffers()[1], np.int64)[got.offset : got.offset + len(got) + 1]
+        raw, cuts = memoryview(got.buffers()[2] or b""), at[ends].tolist()
+        out = [bytes(raw[a:b]) for a, b in zip(cuts, cuts[1:])]
+        for k in odd.tolist():
+            out[k] = self._one(texts[k].as_py())
         return out
 
 
@@ -154,13 +184,14 @@ def encoder(path: str, kind: str) -> Encoder:
     return _encoders[path, kind]
 
 
-def in_chunks(texts: list, most_chars: int = 1 << 20):
+def in_chunks(texts: list | pa.Array, most_chars: int = 1 << 21):
     """Slices of `texts` of about `most_chars` characters, so that units of long texts don't pile up."""
+    sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist() if isinstance(texts, pa.Array) else [len(t or "") for t in texts]
     start = size = 0
-    for k, t in enumerate(texts):
-        size += len(t or "")
+    for k, n in enumerate(sizes):
+        size += n
         if size >= most_chars:
             yield start, k + 1
             start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)

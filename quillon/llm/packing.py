@@ -115,9 +115,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, kind: str = "byte", end_
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, enc = Packer(window, open_windows, _first_id(0), keep_ids), encoder(path, kind)
         for batch in batches:
-            doc_ids, texts = (c.to_pylist() for c in batch.columns)
+            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in in_chunks(texts):
-                for doc_id, ids in zip(doc_ids[a:b], enc.encode(texts[a:b]), strict=True):
+                for doc_id, ids in zip(doc_ids[a:b], enc.encode(texts.slice(a, b - a)), strict=True):
                     packer.add(doc_id, ids := ids + end, len(ids) // 4)
                 yield from packer.batches(FLUSH)
         packer.close(merge=False)

@@ -43,9 +43,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, kind:
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, at = encoder(file, kind), 0
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
+            doc_ids, texts = batch.column(0), batch.column(1)
             for a, b in in_chunks(texts):
-                ids = [x + end for x in enc.encode(texts[a:b])]
+                ids = [x + end for x in enc.encode(texts.slice(a, b - a))]
                 n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
                 ends = np.cumsum(n)
                 values = pa.array(np.frombuffer(b"".join(ids), dtype="<i4"))
