@@ -4,22 +4,28 @@ A byte goes if it lies in a string of `LENGTH` bytes that also starts earlier: i
 smaller id, or before in the same document. The work is cut so that every pair of equal strings
 meets in one suffix array of bounded size:
 
-1. Whole copies of an earlier document go as such; one document of each text goes on.
+1. Whole copies of an earlier document go as such; one document of each text goes on. Texts are cut
+   into pieces of at most `CHUNK` bytes that overlap by LENGTH - 1, so no step holds a long text.
 2. Each string is owned by its minimizer, the smallest hash of its `K`-grams, so equal strings have
-   equal owners. Chunks of documents send the distinct owner hashes (8 bytes each) to buckets, which
-   answer with those that occur more than once in the corpus. All other strings are unique.
-3. Fragments (the owned strings of a repeated owner, one after the other) meet by owner. A task takes
-   the fragments of its owners in order of document and place. One that equals an earlier one is
-   later in all its strings and needs no array. Over the others, in batches of whole owners, it builds
-   suffix orders by prefix doubling up to LENGTH bytes, and finds the longest previous factor: in
-   suffix order with equal prefixes in order of place, the previous smaller position of a suffix whose
-   longest previous factor reaches LENGTH is its neighbour, so neighbours of equal rank mark the later.
-4. An owner with more than `HOT` fragments is dealt over several groups; the strings that are first in
-   their group then meet by a 128-bit hash, combined before they shuffle, to find the first of all.
+   equal owners. Chunks of pieces send the distinct owner hashes to buckets, which answer with those
+   that occur more than once in the corpus. All other strings are unique. A row holds the hashes of
+   a chunk for a bucket, so there are never more rows than distinct owners in the chunks.
+3. Fragments (the strings of neighbouring starts that have one owner, at most `MOST`) meet by owner.
+   Of fragments with equal bytes the first goes on; the others are later in all their strings.
+4. Over batches of whole owners a task builds the suffix order of the fragments, laid end to end in
+   order of document and place, by prefix doubling. For each suffix the nearest suffixes in that
+   order with a smaller place, before and after it, share the longest prefix with any earlier text:
+   the longer of the two, compared byte by byte up to LENGTH, is its longest previous factor. Where
+   that reaches LENGTH the string is a later copy; the first one stays.
+5. An owner with more than `HOT` fragments is dealt over several groups; strings that are first in
+   their group then meet by their bytes, combined before they shuffle, to find the first of all.
+
+Hashes only decide which strings meet; what is removed is decided on bytes alone.
 
 Defined results: null text is empty; null ids count as after all others; rows that repeat an id and a
 text: one is first; texts below LENGTH bytes lose nothing; an empty table gives an empty result;
-other columns are not read. `cleaned` may cut inside a UTF-8 character: it gives bytes.
+other columns are not read. `cleaned` may cut inside a UTF-8 character: it gives bytes. A text and
+the runs to remove from it meet in one row, so a text is limited by Spark's 2 GB of a row.
 """
 
 from __future__ import annotations
@@ -29,133 +35,146 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, released
+from .common import discard, documents, materialize, release, released
 from .exact_dedup import drop_exact_copies, exact_dedup, raw_digest
 
 LENGTH = 100
 K = 32
 SPAN = LENGTH - K + 1
+MOST = 512
 CHUNK = 4 << 20
 STEP = 1 << 20
-BATCH = 1 << 21
-HOT = 4096
+BATCH = 1 << 20
+HOT = 16384
 OWNERS = 400_000
 _RNG = np.random.default_rng(8)
 _BYTE = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MULT = {s: _RNG.integers(0, 2**63, dtype=np.uint64) | np.uint64(1) for s in (1, 2, 4, 8, 16, 32)}
+_MULT = {s: _RNG.integers(0, 2**63, dtype=np.uint64) | np.uint64(1) for s in (1, 2, 4, 8, 16)}
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _PLACE = np.uint64((1 << 24) - 1)
 
 
-def _hashes(data: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of the `length` bytes at every place: by doubling up to the largest power of two, then two that overlap."""
+def _hashes(data: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the K bytes at every place, K a power of two, by doubling."""
     h, s = _BYTE[data], 1
-    while 2 * s <= length:
+    while 2 * s <= K:
         h = h[: len(h) - s] * _MULT[s] + h[s:]
         s *= 2
-    if s < length:
-        h = h[: len(h) - (length - s)] * _MULT[32] + h[length - s :]
     h ^= h >> np.uint64(33)
     h *= _M1
     h ^= h >> np.uint64(29)
     return h
 
 
-def owners(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of documents laid end to end: runs of string starts with one owner, as first start, last start, the owner's hash."""
-    firsts, lasts, hashes = [], [], []
+def owners(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of pieces laid end to end: runs of string starts with one owner, as first start, last start, the owner's hash, and 2 if it occurs again in the run, else 1.
+
+    A run goes on while the hash stays, so one byte or one period over and over is one run, cut at MOST starts.
+    """
+    firsts, lasts, hashes, times = [], [], [], []
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
     inside = np.zeros(len(data) + 1, np.int32)
     long = ends - starts >= LENGTH
     np.add.at(inside, starts[long], 1)
     np.add.at(inside, ends[long] - LENGTH + 1, -1)
-    inside = np.cumsum(inside)[:-1] > 0
+    inside = np.cumsum(inside, dtype=np.int32)[:-1] > 0
     edge = np.zeros(len(data) + 1, bool)
     edge[starts] = True
     for a in range(0, len(data) - LENGTH + 1, STEP):
         b = min(a + STEP, len(data) - LENGTH + 1)
         if not inside[a:b].any():
             continue
-        h = _hashes(data[a : b + LENGTH - 1], K)
+        h = _hashes(data[a : b + LENGTH - 1])
         m = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
         s = 1
         while 2 * s <= SPAN:
             m = np.minimum(m[: len(m) - s], m[s:])
             s *= 2
         m = np.minimum(m[: len(m) - (SPAN - s)], m[SPAN - s :])
-        at = (m & _PLACE).astype(np.int64)
         ok = np.flatnonzero(inside[a:b])
-        cut = np.flatnonzero((np.diff(at[ok]) != 0) | (np.diff(ok) != 1) | edge[a + ok[1:]]) + 1
-        heads = np.concatenate([[0], cut])
-        tails = np.concatenate([cut - 1, [len(ok) - 1]])
-        firsts.append(a + ok[heads]), lasts.append(a + ok[tails]), hashes.append(h[at[ok[heads]]])
+        at = (m & _PLACE).astype(np.int64)[ok]
+        own = h[at]
+        heads = np.concatenate([[0], np.flatnonzero((own[1:] != own[:-1]) | (np.diff(ok) != 1) | edge[a + ok[1:]]) + 1])
+        tails = np.concatenate([heads[1:] - 1, [len(ok) - 1]])
+        moves = np.concatenate([[0], np.cumsum(np.diff(at) != 0)])
+        parts = (tails - heads) // MOST + 1
+        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        first = np.repeat(a + ok[heads], parts) + nth * MOST
+        firsts.append(first), lasts.append(np.minimum(first + MOST - 1, np.repeat(a + ok[tails], parts)))
+        hashes.append(np.repeat(own[heads], parts)), times.append(np.repeat(1 + (moves[tails] > moves[heads]), parts))
     if not firsts:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
-    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(hashes)
-
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(firsts), np.concatenate(lasts), np.concatenate(hashes), np.concatenate(times)
 
-def repeated_suffixes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Of the suffixes at `starts` (ascending), those whose longest previous factor among them reaches LENGTH.
 
-    Suffix order by prefix doubling over packed 8-byte ranks: 8, 16, 32, 64, then LENGTH by two ranks that overlap.
-    """
+def packed_words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number whose order is theirs."""
     word = np.zeros(len(data), np.uint64)
     padded = np.concatenate([data, np.zeros(7, np.uint8)])
     for k in range(8):
         word = (word << np.uint64(8)) | padded[k : k + len(data)]
+    return word
+
+
+def suffix_order(word: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The numbers of the suffixes at `starts` (ascending) in order of their first LENGTH bytes, then of place.
+
+    Ranks of 8, 16, 32, 64 bytes by prefix doubling, then LENGTH by two ranks that overlap.
+    """
     rank, s = np.unique(word, return_inverse=True)[1].astype(np.uint64), 8
     while 2 * s < LENGTH:
         rank = np.unique((rank[: len(rank) - s] << np.uint64(32)) | rank[s:], return_inverse=True)[1].astype(np.uint64)
         s *= 2
-    rank = (rank[starts] << np.uint64(32)) | rank[starts + LENGTH - s]
-    order = np.argsort(rank, kind="stable")
-    ordered = rank[order]
-    later = np.zeros(len(starts), bool)
-    later[order[1:]] = ordered[1:] == ordered[:-1]
-    return later
+    return np.argsort((rank[starts] << np.uint64(32)) | rank[starts + LENGTH - s], kind="stable")
 
 
-def later_strings(pieces: list[bytes]) -> list[np.ndarray]:
-    """For fragments in order: for each its string starts that have an equal string before.
+def smaller_before(places: np.ndarray) -> np.ndarray:
+    """For each place in a row the index of the nearest one to its left that is smaller, or -1. All places differ.
 
-    Strings that have no equal by hash among these fragments are left out of the suffix array.
+    Every element starts at its neighbour and jumps on to where that one has come while it is larger:
+    all between it and the element are larger, so nothing is passed over.
     """
-    data = np.frombuffer(b"".join(pieces), np.uint8)
-    sizes = np.array([len(p) for p in pieces])
-    ends = np.cumsum(sizes)
-    begin = ends - sizes
-    valid = np.ones(len(data), bool)
-    tail = (ends[:, None] - np.arange(1, LENGTH)[None, :]).ravel()
-    valid[tail] = False
-    at = np.flatnonzero(valid)
-    h = _hashes(data, LENGTH)[at]
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
-    twice = np.zeros(len(at), bool)
-    twice[order[1:]] |= same
-    twice[order[:-1]] |= same
-    some = at[twice]
-    found = [np.empty(0, np.int64)] * len(pieces)
-    if not len(some):
-        return found
-    # the suffix array covers the bytes of these strings alone
-    cover = np.zeros(len(data) + 1, np.int32)
-    np.add.at(cover, some, 1)
-    np.add.at(cover, some + LENGTH, -1)
-    kept = np.cumsum(cover)[:-1] > 0
-    place = np.cumsum(kept) - 1
-    later = some[repeated_suffixes(data[kept], place[some])]
-    split = np.searchsorted(later, np.concatenate([begin, [len(data)]]))
-    return [later[split[k] : split[k + 1]] - begin[k] for k in range(len(pieces))]
-
-
-def _runs(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The byte runs that LENGTH-byte strings at ascending `starts` cover."""
-    cut = np.flatnonzero(np.diff(starts) > LENGTH) + 1
-    return starts[np.concatenate([[0], cut])], starts[np.concatenate([cut - 1, [len(starts) - 1]])] + LENGTH
+    found = np.arange(-1, len(places) - 1)
+    open_ = np.flatnonzero(found >= 0)
+    while len(open_):
+        open_ = open_[places[found[open_]] > places[open_]]
+        found[open_] = found[found[open_]]
+        open_ = open_[found[open_] >= 0]
+    return found
+
+
+def common_bytes(word: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many bytes from places a and b on are the same, up to LENGTH."""
+    out = np.full(len(a), LENGTH, np.int64)
+    left = np.arange(len(a))
+    for k in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
+        x = word[a[left] + k] ^ word[b[left] + k]
+        differ = x != 0
+        y, same = x[differ], np.zeros(int(differ.sum()), np.int64)
+        for j in range(1, 8):
+            same += y < np.uint64(1 << (64 - 8 * j))
+        out[left[differ]] = k + same
+        left = left[~differ]
+        if not len(left):
+            break
+    return out
+
+
+def longest_previous_factors(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each suffix at `starts` (ascending) the longest prefix, up to LENGTH, that one at an earlier start has too."""
+    word = packed_words(data)
+    order = suffix_order(word, starts)
+    lpf = np.zeros(len(starts), np.int64)
+    n = len(order)
+    for found in (smaller_before(order), n - 1 - smaller_before(order[::-1])[::-1]):
+        has = np.flatnonzero((found >= 0) & (found < n))
+        own, other = order[has], order[found[has]]
+        lpf[own] = np.maximum(lpf[own], common_bytes(word, starts[own], starts[other]))
+    return lpf
 
 
 def _deal(names: list[str], types: list, rows: list[tuple]) -> pa.RecordBatch:
@@ -164,7 +183,7 @@ def _deal(names: list[str], types: list, rows: list[tuple]) -> pa.RecordBatch:
 
 
 def numbered(docs: DataFrame) -> DataFrame:
-    """doc_id, text, sha with rid (a number) and chunk (about CHUNK bytes of neighbours)."""
+    """doc_id, text, sha with rid (a number) and chunk (about CHUNK bytes of neighbours; a longer text has as many chunks of its own as it needs, from this one on)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -172,39 +191,64 @@ def numbered(docs: DataFrame) -> DataFrame:
         base, row, chunk, size = TaskContext.get().partitionId() << 36, 0, 0, 0
         for batch in batches:
             chunks = []
-            for n in map(len, batch.column(1).cast(pa.binary()).to_pylist()):
+            for n in pc.binary_length(batch.column(1)).to_pylist():
                 if size and size + n > CHUNK:
                     chunk, size = chunk + 1, 0
-                size += n
                 chunks.append(base + chunk)
+                if n > CHUNK:
+                    chunk, size = chunk - (-n // CHUNK), 0
+                else:
+                    size += n
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(base + np.arange(row, row + len(chunks))), pa.array(chunks, pa.int64())], names=["doc_id", "text", "sha", "rid", "chunk"])
             row += len(chunks)
 
     return docs.mapInArrow(released(run), "doc_id long, text string, sha string, rid long, chunk long")
 
 
-def _laid(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    raw = [x or b"" for x in texts.cast(pa.binary()).to_pylist()]
-    return np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw])
+def pieces(docs: DataFrame) -> DataFrame:
+    """chunk, doc_id, rid, base (where the piece begins in its text), bytes."""
+    names = ["chunk", "doc_id", "rid", "base", "bytes"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.binary_length(batch.column(3)).to_numpy()
+            short = pa.array(sizes <= CHUNK)
+            some = batch.filter(short)
+            yield pa.RecordBatch.from_arrays([*some.columns[:3], pa.array(np.zeros(len(some), np.int64)), some.column(3).cast(pa.binary())], names=names)
+            for k in np.flatnonzero(sizes > CHUNK).tolist():
+                chunk, doc_id, rid = (batch.column(c)[k].as_py() for c in range(3))
+                text = memoryview(batch.column(3)[k].as_buffer())
+                for nth, a in enumerate(range(0, len(text), CHUNK)):
+                    yield _deal(names, [pa.int64()] * 4 + [pa.binary()], [(chunk + nth, doc_id, rid, a, bytes(text[a : a + CHUNK + LENGTH - 1]))])
+
+    return docs.select("chunk", "doc_id", "rid", "text").mapInArrow(released(run), "chunk long, doc_id long, rid long, base long, bytes binary")
+
 
+def _laid(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array end to end, and where each ends."""
+    at = np.frombuffer(parts.buffers()[1], np.int32)[parts.offset : parts.offset + len(parts) + 1].astype(np.int64)
+    raw = np.frombuffer(parts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]] if len(parts) else np.empty(0, np.uint8)
+    return raw, at[1:] - at[0]
 
-def owner_hashes(docs: DataFrame, buckets: int) -> DataFrame:
-    """chunk, bucket, hashes: the distinct owners of a chunk with their counts, packed."""
+
+def owner_hashes(parts: DataFrame, buckets: int) -> DataFrame:
+    """chunk, bucket, hashes, times: the distinct owners of a chunk with their counts, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             chunks = batch.column(0).to_numpy()
             cuts = np.flatnonzero(np.diff(chunks)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(chunks)], strict=True):
-                _, _, h = owners(*_laid(batch.column(1).slice(a, b - a)))
-                h, n = np.unique(h, return_counts=True)
+                _, _, own, times = owners(*_laid(batch.column(1).slice(a, b - a)))
+                h, code = np.unique(own, return_inverse=True)
+                n = np.bincount(code, weights=times, minlength=len(h)).astype(np.uint32)
                 bucket = (h % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 found, first = np.unique(bucket[order], return_index=True)
-                rows = [(int(chunks[a]), int(k), h[own].tobytes(), n[own].astype(np.uint32).tobytes()) for k, own in zip(found, np.split(order, first[1:]), strict=True)] if len(h) else []
+                rows = [(int(chunks[a]), int(k), h[own].tobytes(), n[own].tobytes()) for k, own in zip(found, np.split(order, first[1:]), strict=True)] if len(h) else []
                 yield _deal(["chunk", "bucket", "hashes", "times"], [pa.int64(), pa.int64(), pa.binary(), pa.binary()], rows)
 
-    return docs.select("chunk", "text").mapInArrow(released(run), "chunk long, bucket long, hashes binary, times binary")
+    return parts.select("chunk", "bytes").mapInArrow(released(run), "chunk long, bucket long, hashes binary, times binary")
 
 
 def repeated_owners(hashes: DataFrame) -> DataFrame:
@@ -224,108 +268,126 @@ def repeated_owners(hashes: DataFrame) -> DataFrame:
             many = own > 1
             if many.any():
                 rows.append((chunk, part[many].tobytes(), own[many].tobytes()))
+        release()
         return pa.Table.from_batches([_deal(["chunk", "hashes", "times"], [pa.int64(), pa.binary(), pa.binary()], rows)])
 
     return hashes.groupBy("bucket").applyInArrow(run, "chunk long, hashes binary, times binary")
 
 
-def fragments(docs: DataFrame, repeated: DataFrame, buckets: int, most: int = HOT) -> DataFrame:
-    """hot, key, owner, late (null id), doc_id, rid, start, bytes: the strings of repeated owners."""
-    names = ["hot", "key", "owner", "late", "doc_id", "rid", "start", "bytes"]
-    types = [pa.bool_(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+def fragments(parts: DataFrame, repeated: DataFrame, buckets: int, most: int = HOT) -> DataFrame:
+    """hot, key, owner, inner (the owner occurs again inside), late (null id), doc_id, rid, start, stop, bytes: the fragments of repeated owners.
+
+    Of a chunk's fragments with equal bytes the first carries them; the others (bytes null) are later in all their strings.
+    """
+    kinds = [("hot", pa.bool_()), ("key", pa.int64()), ("owner", pa.int64()), ("inner", pa.bool_()), ("late", pa.bool_()), ("doc_id", pa.int64()), ("rid", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("bytes", pa.binary())]
 
-    def run(docs: pa.Table, repeated: pa.Table) -> pa.Table:
-        if not docs.num_rows or not repeated.num_rows:
-            return pa.Table.from_batches([_deal(names, types, [])])
+    def run(parts: pa.Table, repeated: pa.Table) -> pa.Table:
+        if not parts.num_rows or not repeated.num_rows:
+            return pa.schema(kinds).empty_table()
         h = np.concatenate([np.frombuffer(x, np.uint64) for x in repeated.column("hashes").to_pylist()])
         n = np.concatenate([np.frombuffer(x, np.int64) for x in repeated.column("times").to_pylist()])
         order = np.argsort(h)
         h, n = h[order], n[order]
-        data, ends = _laid(docs.column("text").combine_chunks())
-        first, last, own = owners(data, ends)
+        data, ends = _laid(parts.column("bytes").combine_chunks())
+        first, last, own, inner = owners(data, ends)
         at = np.minimum(np.searchsorted(h, own), len(h) - 1)
         keep = h[at] == own
-        first, last, own, times = first[keep], last[keep], own[keep], n[at][keep]
-        doc = np.searchsorted(ends, first, side="right")
+        first, last, own, inner, times = first[keep], last[keep], own[keep], inner[keep] > 1, n[at][keep]
+        piece = np.searchsorted(ends, first, side="right")
         begin = np.concatenate([[0], ends[:-1]])
-        ids, rids = docs.column("doc_id").combine_chunks(), docs.column("rid").to_numpy()
-        late = ids.is_null().to_numpy(zero_copy_only=False)
-        ids = ids.fill_null(0).to_numpy()
+        ids = parts.column("doc_id").combine_chunks()
+        late, ids = ids.is_null().to_numpy(zero_copy_only=False)[piece], ids.fill_null(0).to_numpy()[piece]
+        rid, start = parts.column("rid").to_numpy()[piece], first - begin[piece] + parts.column("base").to_numpy()[piece]
+        sizes = last - first + LENGTH
         hot = times > most
-        salt = (rids[doc].astype(np.uint64) * _M1 >> np.uint64(33)) % (times // most + 1).astype(np.uint64)
+        salt = ((rid.astype(np.uint64) * _M2 + start.astype(np.uint64)) * _M1 >> np.uint64(33)) % (times // most + 1).astype(np.uint64)
         key = np.where(hot, (own ^ ((salt + np.uint64(1)) * _M2)).view(np.int64), (own % np.uint64(buckets)).astype(np.int64))
-        # views of one buffer: lengths and copies in one go
-        sizes = last - first + LENGTH
-        out = np.empty(int(sizes.sum()), np.uint8)
         stops = np.cumsum(sizes)
-        lead = np.repeat(first - (stops - sizes), sizes)
-        out[:] = data[np.arange(len(out)) + lead]
-        offsets = pa.py_buffer(np.concatenate([[0], stops]).astype(np.int32).tobytes())
-        pieces = pa.Array.from_buffers(pa.binary(), len(first), [None, offsets, pa.py_buffer(out.tobytes())])
-        return pa.table([pa.array(hot), pa.array(key), pa.array(own.view(np.int64)), pa.array(late[doc]), pa.array(ids[doc]), pa.array(rids[doc]), pa.array(first - begin[doc]), pieces], names=names)
+        raw = data[np.arange(int(stops[-1]) if len(stops) else 0) + np.repeat(first - (stops - sizes), sizes)]
+        bytes_of = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.concatenate([[0], stops]).astype(np.int64).tobytes()), pa.py_buffer(raw.tobytes())])
+        code = bytes_of.dictionary_encode().indices.to_numpy()
+        place = np.lexsort((start, rid, ids, late))
+        again = np.ones(len(code), bool)
+        again[place[np.unique(code[place], return_index=True)[1]]] = False
+        carried = pc.if_else(pa.array(again), pa.scalar(None, pa.large_binary()), bytes_of).cast(pa.binary())
+        cols = [hot, key, own.view(np.int64), inner, late, ids, rid, start, start + sizes]
+        return pa.table([*map(pa.array, cols), carried], schema=pa.schema(kinds))
 
-    left = docs.select("chunk", "doc_id", "rid", "text").groupBy("chunk")
-    return left.cogroup(repeated.groupBy("chunk")).applyInArrow(run, "hot boolean, key long, owner long, late boolean, doc_id long, rid long, start long, bytes binary")
+    left = parts.groupBy("chunk")
+    return left.cogroup(repeated.groupBy("chunk")).applyInArrow(run, "hot boolean, key long, owner long, inner boolean, late boolean, doc_id long, rid long, start long, stop long, bytes binary")
 
 
-def judged(parts: DataFrame) -> DataFrame:
-    """rid, low, high: byte runs to remove; and for hot owners' strings that are first in their group also h1, h2, late, doc_id."""
-    names = ["rid", "low", "high", "h1", "h2", "late", "doc_id"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
+def judged(found: DataFrame) -> DataFrame:
+    """rid, low, high: byte runs to remove; and for hot owners' strings that are first in their group also string, late, doc_id."""
+    schema = pa.schema([("rid", pa.int64()), ("low", pa.int64()), ("high", pa.int64()), ("string", pa.binary()), ("late", pa.bool_()), ("doc_id", pa.int64())])
+
+    def runs(rid: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.Table:
+        n = len(rid)
+        return pa.table([pa.array(rid, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), *[pa.nulls(n, t) for t in schema.types[3:]]], schema=schema)
 
     def run(table: pa.Table) -> pa.Table:
         hot = table.column("hot")[0].as_py()
-        col = {c: table.column(c).to_numpy() for c in ("owner", "late", "doc_id", "rid", "start")}
+        col = {c: table.column(c).to_numpy() for c in ("owner", "inner", "late", "doc_id", "rid", "start", "stop")}
+        bytes_of = table.column("bytes").combine_chunks()
+        there = bytes_of.is_valid().to_numpy(zero_copy_only=False)
         order = np.lexsort((col["start"], col["rid"], col["doc_id"], col["late"], col["owner"]))
-        bytes_of = table.column("bytes").to_pylist()
-        # a fragment that is the same as one before is later in all its strings; of the others, an owner needs two to have any
-        seen: set[bytes] = set()
-        whole = np.array([bytes_of[i] in seen or seen.add(bytes_of[i]) is not None for i in order], bool)
-        first = order[~whole]
+        order = order[there[order]]
+        code = bytes_of.dictionary_encode().indices.fill_null(-1).to_numpy()
+        fresh = np.sort(np.unique(code[order], return_index=True)[1])
+        first = order[fresh]
+        gone = np.concatenate([np.delete(order, fresh), np.flatnonzero(~there)])
+        out = [runs(col["rid"][gone], col["start"][gone], col["stop"][gone])]
+        owner = col["owner"][first]
+        heads = np.flatnonzero(np.diff(owner, prepend=owner[:1] ^ 1))
+        counts = np.diff(heads, append=len(owner))
+        first = first if hot else first[np.repeat(counts > 1, counts) | col["inner"][first]]
         owner = col["owner"][first]
-        ends = np.concatenate([np.flatnonzero(np.diff(owner)) + 1, [len(owner)]])
-        counts = np.diff(ends, prepend=0)
-        several = first[np.repeat(counts > 1, counts)]
-        stops = np.cumsum(counts[counts > 1])
-        total = np.cumsum([len(bytes_of[i]) for i in several])
-        later: dict[int, np.ndarray] = {int(i): np.arange(len(bytes_of[i]) - LENGTH + 1) for i in order[whole]}
+        stops = np.append(np.flatnonzero(np.diff(owner)) + 1, len(owner)) if len(owner) else np.empty(0, np.int64)
+        total = np.cumsum((col["stop"] - col["start"])[first])
         begin = 0
-        while begin < len(several):
+        while begin < len(first):
             # batches end where an owner ends
             done = total[begin - 1] if begin else 0
             k = np.searchsorted(total[stops - 1], done + BATCH, side="right") - 1
             stop = int(stops[max(k, np.searchsorted(stops, begin, side="right"))])
-            own = several[begin:stop]
-            later |= zip(own.tolist(), later_strings([bytes_of[i] for i in own]), strict=True)
-            begin = stop
-        out = []
-        for i in order.tolist():
-            rid, start, found = int(col["rid"][i]), int(col["start"][i]), later.get(i, ())
-            if len(found):
-                for low, high in zip(*_runs(found), strict=True):
-                    out.append((rid, start + int(low), start + int(high), None, None, None, None))
-            if hot and len(found) < len(bytes_of[i]) - LENGTH + 1:
-                rest = np.setdiff1d(np.arange(len(bytes_of[i]) - LENGTH + 1), found, assume_unique=True)
-                data = np.frombuffer(bytes_of[i], np.uint8)
-                h1, h2 = _hashes(data, LENGTH).view(np.int64), _hashes(data[::-1], LENGTH)[::-1].view(np.int64)
-                late, doc = bool(col["late"][i]), int(col["doc_id"][i])
-                out += [(rid, start + p, start + p + LENGTH, int(h1[p]), int(h2[p]), late, doc) for p in rest.tolist()]
-        return pa.Table.from_batches([_deal(names, types, out)])
-
-    return parts.groupBy("hot", "key").applyInArrow(run, "rid long, low long, high long, h1 long, h2 long, late boolean, doc_id long")
+            own, begin = first[begin:stop], stop
+            data, ends = _laid(bytes_of.take(pa.array(own)))
+            valid = np.ones(len(data), bool)
+            valid[(ends[:, None] - np.arange(1, LENGTH)[None, :]).ravel()] = False
+            starts = np.flatnonzero(valid)
+            later = longest_previous_factors(data, starts) >= LENGTH
+            piece = np.searchsorted(ends, starts, side="right")
+            place = col["start"][own][piece] + starts - np.concatenate([[0], ends[:-1]])[piece]
+            rid = col["rid"][own][piece]
+            if later.any():
+                r, p = rid[later], place[later]
+                cut = np.flatnonzero((np.diff(p) > LENGTH) | (np.diff(p) < 0) | (np.diff(r) != 0)) + 1
+                heads = np.concatenate([[0], cut])
+                out.append(runs(r[heads], p[heads], p[np.concatenate([cut - 1, [len(p) - 1]])] + LENGTH))
+            if hot:
+                rest = ~later
+                text = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), int(rest.sum()), [None, pa.py_buffer(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[starts[rest]].tobytes())])
+                out.append(pa.table([pa.array(rid[rest]), pa.array(place[rest]), pa.array(place[rest] + LENGTH), text.cast(pa.binary()), pa.array(col["late"][own][piece][rest]), pa.array(col["doc_id"][own][piece][rest])], schema=schema))
+        release()
+        return pa.concat_tables(out)
+
+    return found.groupBy("hot", "key").applyInArrow(run, "rid long, low long, high long, string binary, late boolean, doc_id long")
 
 
 def removals(docs: DataFrame, total_bytes: int, hot: int = HOT) -> DataFrame:
     """rid and the byte runs to remove, of a written table of `numbered` documents with different texts."""
     spark = docs.sparkSession
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total_bytes // 35 // OWNERS)
-    repeated = materialize(repeated_owners(owner_hashes(docs, buckets)), "suffix-owners")
-    found = materialize(judged(fragments(docs, repeated, buckets, hot)), "suffix-judged")
-    first = found.filter("h1 IS NOT NULL")
+    repeated = materialize(repeated_owners(owner_hashes(pieces(docs), buckets)), "suffix-owners")
+    found = materialize(judged(fragments(pieces(docs), repeated, buckets, hot)), "suffix-judged")
+    discard(repeated)
+    first = found.filter("string IS NOT NULL")
     place = F.struct("late", "doc_id", "rid", "low")
-    firsts = first.groupBy("h1", "h2").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    more = first.join(firsts, ["h1", "h2"]).filter((F.col("best.rid") != F.col("rid")) | (F.col("best.low") != F.col("low"))).select("rid", "low", "high")
-    return found.filter("h1 IS NULL").select("rid", "low", "high").unionByName(more)
+    firsts = first.groupBy("string").agg(F.min(place).alias("best"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    more = first.join(firsts, "string").filter((F.col("best.rid") != F.col("rid")) | (F.col("best.low") != F.col("low"))).select("rid", "low", "high")
+    out = materialize(found.filter("string IS NULL").select("rid", "low", "high").unionByName(more), "suffix-runs")
+    discard(found)
+    return out
 
 
 def cut(docs: DataFrame, runs: DataFrame) -> DataFrame:
@@ -369,14 +431,16 @@ def suffix_dedup(docs: DataFrame, **cols) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row of `docs`."""
     found = Repeats(docs, **cols)
     done = materialize(cut(found.unique, found.runs).drop("cleaned"), "suffix-cut")
+    discard(found.unique, found.runs)
     rows = exact_dedup(found.rows, digest=raw_digest)
     rows = rows.select("doc_id", "kept", F.substring_index("text_sha256", ":", 1).alias("sha"), F.substring_index("text_sha256", ":", -1).cast("long").alias("n_bytes"))
-    # copies lose all they have; of the others, texts that lose nothing keep their own digest
-    gone = ~F.col("kept") & (F.col("n_bytes") >= LENGTH)
-    first = rows.filter(~gone).join(done, "sha", "left")
+    # texts too short to lose anything, and copies, which lose all they have, need no join
+    short, gone = F.col("n_bytes") < LENGTH, ~F.col("kept") & (F.col("n_bytes") >= LENGTH)
+    untouched = rows.filter(short).select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"))
+    first = rows.filter(~short & ~gone).join(done, "sha", "left")
     first = first.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
     copies = rows.filter(gone).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
-    return first.unionByName(copies)
+    return first.unionByName(copies).unionByName(untouched)
 
 
 def cleaned(docs: DataFrame, **cols) -> DataFrame:

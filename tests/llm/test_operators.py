@@ -146,20 +146,29 @@ def test_components_of_paths_and_stars(spark):
     assert got == {k: 0 for k in range(41)} | {k: 100 for k in range(100, 160)}
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_suffix_dedup(spark, hot):
-    rows = sorted(fixtures.random_texts(6, 160, length=80))
+def _without_repeats(rows):
+    """doc_id: bytes, bytes removed, removed runs, what is left; by brute force over (doc_id, text) in order."""
     seen, want = set(), {}
     for doc_id, text, *_ in rows:
         data = text.encode()
-        gone = bytearray(len(data))
+        gone, high = bytearray(len(data)), 0
         for p in range(len(data) - 99):
-            if data[p : p + 100] in seen:
-                gone[p : p + 100] = b"\1" * 100
-            seen.add(data[p : p + 100])
-        kept = bytes(c for c, g in zip(data, gone, strict=True) if not g)
-        spans = sum(1 for k in range(len(gone)) if gone[k] and not (k and gone[k - 1]))
+            string = data[p : p + 100]
+            if string in seen:
+                low, high = max(p, high), p + 100
+                gone[low:high] = b"\1" * (high - low)
+            else:
+                seen.add(string)
+        kept = np.frombuffer(data, np.uint8)[np.frombuffer(gone, np.uint8) == 0].tobytes()
+        spans = (b"\0" + bytes(gone)).count(b"\0\1")
         want[doc_id] = (len(data), sum(gone), spans, hashlib.sha256(kept).hexdigest(), kept)
+    return want
+
+
+@pytest.mark.parametrize("hot", [4096, 2])
+def test_suffix_dedup(spark, hot):
+    rows = sorted(fixtures.random_texts(6, 160, length=80))
+    want = _without_repeats(rows)
     docs = fixtures.table(spark, rows)
     got = {r.doc_id: r for r in suffix_dedup.suffix_dedup(docs, hot=hot).collect()}
     for doc_id, (n, removed, spans, sha, _) in want.items():
@@ -170,6 +179,31 @@ def test_suffix_dedup(spark, hot):
     assert all(not w[4] for d, w in want.items() if d not in left)
 
 
+def test_suffix_dedup_of_long_low_entropy_texts(spark):
+    r = random.Random(12)
+    line = "a line of some forty bytes, over and over\n"
+    noise = "".join(r.choice("abcdefghij ") for _ in range(30_000))
+    border = (4 << 20) - len(noise) - 70  # a passage that is cut between two pieces of its text
+    texts = ["a" * 300_000, "ab" * 90_000, "a" * 150, "xyz " * 30_000, line * 3000 + noise, noise[:5000] + line * 7, "b" * 130, noise + "a" * border + noise[200:900] + "q" * 300_000, "a" * 99, "", "c" * 9_000_000]
+    rows = [(k, t, None, "s") for k, t in enumerate(texts)]
+    got = {x.doc_id: x for x in suffix_dedup.suffix_dedup(fixtures.table(spark, rows)).collect()}
+    for doc_id, (n, removed, spans, sha, _) in _without_repeats(rows).items():
+        x = got[doc_id]
+        assert (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == (n, removed, spans, sha), doc_id
+
+
+def test_longest_previous_factors():
+    r = random.Random(1)
+    for t in range(30):
+        data = np.array([r.choice([97, 98]) if t % 2 else 97 for _ in range(r.randint(120, 500))], np.uint8)
+        data = np.tile(data[: r.randint(1, 60)], 12) if t % 3 == 0 else data
+        raw, starts = bytes(data), np.arange(max(0, len(data) - 99))
+        got = suffix_dedup.longest_previous_factors(data, starts) if len(starts) else []
+        for i in range(0, len(starts), 5):
+            same = lambda j: next((k for k in range(100) if raw[i + k] != raw[j + k]), 100)  # noqa: B023, E731
+            assert got[i] == max(map(same, range(i)), default=0)
+
+
 # ------------------------------------------------------------------ others
 
 
