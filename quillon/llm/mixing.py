@@ -1,21 +1,23 @@
 """Mixing sources to target weights by fixed-length blocks.
 
-The words of a source, document after document, are packed into blocks of `block` words. Targets
-share the size of all sources by weight; no target exceeds `most` times its source, and what is
-over is shared again by weight. Each source gets a quota of slots that fill its target. Output
-shards of equal numbers of slots draw multinomial source counts, with the sources' remaining quotas
-as chances, so the counts of all shards add up to the quotas. A source's slots, counted on through
-the shards, go round by round through a pseudorandom permutation of its block indices (a Feistel
-network with cycle walking), and slots join blocks by index. So each block is taken floor or
+The words of a source, document after document, are packed into blocks of `block` words (a source
+of fewer than 256 blocks takes shorter ones, so that its target is met too). Targets share the size
+of all sources by weight; no target exceeds `most` times its source, and what is over is shared
+again by weight. Each source gets a quota of slots that fill its target. The slots of all sources
+are dealt over the output shards by multinomial draws, source by source, so the counts in a shard
+are multinomial too, and those of all shards add up to the quotas. A source's slots, counted on
+through the shards, go round by round through a pseudorandom permutation of its block indices (a
+Feistel network with cycle walking), and slots join blocks by index. So each block is taken floor or
 ceiling of quota/blocks times, never more than `most`.
 
-The driver holds one row a source (more than `max_sources` raise an error) and the counts of at
-most `max_shards` shards. Positions within a source come from sums by hash bucket, so a hot source
-is spread over many tasks.
+Sources are rows of a table, as many as there are: the driver holds sums alone, draws are made in
+tasks out of the seed and the source's number. Positions within a source come from sums by hash
+bucket, so a hot source is spread over many tasks.
 
 Defined results: null text has no words and is never taken; null is a source of its own, ordered
 last; repeated rows are documents of their own; if no text has a word all targets are 0; an empty
-table gives an empty result; other columns are passed through by `mixed_documents` alone.
+table gives an empty result; other columns are passed through by `mixed_documents` alone. Reruns
+agree, but for which of several rows with null ids or with equal ids and texts are taken how often.
 """
 
 from __future__ import annotations
@@ -28,43 +30,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, released, words
+from ..functions.text import numbered
+from .common import attach_groups, documents, materialize, released, scratch, words
 
 WEIGHTS = (5.0, 2.0, 1.0)
 BLOCK = 128
+LEAST_BLOCKS = 256
 MOST = 3
 
 
-def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
-    """Shares of the total by weight, held to `most` times each size; the excess is shared again until none is above."""
-    total, capped = float(sum(sizes)), set()
+def source_table(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK) -> DataFrame:
+    """From (source, size): source, documents, source_size, source_index, target, block (its words), blocks, quota.
+
+    A source is held to `most` times its size if its size by weight is below a level; the level rises
+    with what the held ones leave to the others, until no more are held.
+    """
+    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents")).withColumn("none", F.col("source").isNull())
+    known = numbered(sums, ["none", "source"], "source_index", scratch(rows.sparkSession, "mix-order")).drop("none")
+    known = materialize(known.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("source_index") % len(weights) + 1).cast("int"))), "mix-known")
+    held, before = F.lit(False), -1
     while True:
-        free = [k for k in range(len(sizes)) if k not in capped]
-        rest = total - sum(most * sizes[k] for k in capped)
-        weight = sum(weights[k] for k in free)
-        share = {k: rest * weights[k] / weight for k in free}
-        over = {k for k in free if share[k] > most * sizes[k]}
-        if not over:
-            return [float(most * sizes[k]) if k in capped else share[k] for k in range(len(sizes))]
-        capped |= over
-
-
-def shard_counts(quotas: np.ndarray, slots: int, seed: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Multinomial counts of each shard, chances by what is left of the quotas; a draw beyond a quota is drawn anew among the others."""
-    left, shard = quotas.astype(np.int64).copy(), 0
-    while left.sum():
-        rng, got, need = np.random.default_rng([seed, shard]), np.zeros_like(left), min(slots, int(left.sum()))
-        while need:
-            rest = left - got
-            draw = np.minimum(rng.multinomial(need, rest / rest.sum()), rest)
-            got += draw
-            need -= int(draw.sum())
-        left -= got
-        yield shard, got
-        shard += 1
-
-
-def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
+        got = known.agg(F.sum(F.when(held, 0).otherwise(F.col("weight"))).alias("weight"), F.sum("source_size").alias("total"), F.sum(F.when(held, F.col("source_size")).otherwise(0)).alias("held"), F.sum(held.cast("long")).alias("n")).first()
+        rest, weight = float((got["total"] or 0) - most * (got["held"] or 0)), got["weight"] or 1.0
+        share = F.lit(rest) * F.col("weight") / F.lit(float(weight))
+        if got["n"] in (None, before):
+            break
+        before, held = got["n"], held | (share > most * F.col("source_size"))
+    size, target = F.col("source_size"), F.when(held, (most * F.col("source_size")).cast("double")).otherwise(share)
+    own = F.least(F.lit(block), F.greatest(F.lit(1), F.expr(f"cast(source_size div {LEAST_BLOCKS} as int)")))
+    out = known.select("source", "documents", "source_size", "source_index", target.alias("target"), own.alias("block")).withColumn("blocks", F.ceil(size / F.col("block")).cast("long"))
+    quota = F.when(size == 0, 0).otherwise(F.least(most * F.col("blocks"), F.round(F.col("target") * F.col("blocks") / size).cast("long")))
+    return out.withColumn("quota", quota.cast("long"))
+
+
+def dealt(quota: int, shards: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Shards and the slots of each, of a multinomial draw over all shards."""
+    if quota < shards:
+        return np.unique(rng.integers(0, shards, quota), return_counts=True)
+    got = rng.multinomial(quota, np.full(shards, 1 / shards))
+    return np.flatnonzero(got), got[got > 0]
+
+
+def permuted(index: np.ndarray, size: int, key: int | list[int]) -> np.ndarray:
     """A pseudorandom permutation of range(size), keyed: four Feistel rounds on the next even power of two, walked until inside."""
     half = max(1, (max(1, size - 1).bit_length() + 1) // 2)
     mask = np.uint64((1 << half) - 1)
@@ -86,63 +93,55 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
 class Mix:
     """The sources, their targets, and the tables of the mix."""
 
-    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = 20, slots: int = 8192, max_shards: int = 4096, max_sources: int = 100_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
-        spark = docs.sparkSession
-        self.block, self.seed = block, seed
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col).cast("string"))).cast("long").alias("size"), *([F.col("rid")] if "rid" in docs.columns else [F.monotonically_increasing_id().alias("rid")]))
+    def __init__(self, docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = 20, slots: int = 8192, max_shards: int = 4096, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"):
+        self.seed = seed
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col).cast("string"))).cast("long").alias("size"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), *([F.col("rid")] if "rid" in docs.columns else [F.monotonically_increasing_id().alias("rid")]))
+        rows = rows.withColumn("source_key", F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-")))
         rows = materialize(rows, "mix-sizes")
         self.rows = rows.count()
-        sums = rows.groupBy("source").agg(F.sum("size").alias("n")).limit(max_sources + 1).collect()
-        if len(sums) > max_sources:
-            raise ValueError(f"more than {max_sources} sources")
-        sums.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
-        self.sizes = [r["n"] for r in sums]
-        self.targets = targets(self.sizes, [weights[k % len(weights)] for k in range(len(sums))], most) if sums else []
-        self.blocks = [-(-n // block) for n in self.sizes]
-        self.quotas = np.array([min(most * b, round(t * b / n)) if n else 0 for t, b, n in zip(self.targets, self.blocks, self.sizes, strict=True)], dtype=np.int64)
-        self.slots = max(slots, -(-int(self.quotas.sum()) // max_shards))
-        table = [(r["source"], k, n, t) for k, (r, n, t) in enumerate(zip(sums, self.sizes, self.targets, strict=True))]
-        known = spark.createDataFrame(table, "source string, source_index int, source_size long, target double")
-        self.docs = rows.withColumn("source_key", F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-"))).join(F.broadcast(known.withColumn("source_key", F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-"))).drop("source")), "source_key").drop("source_key")
+        self.sources = materialize(source_table(rows, weights, most, block), "mix-sources")
+        total = self.sources.agg(F.sum("quota")).first()[0] or 0
+        self.shards = max(1, min(max_shards, -(-total // slots)))
+        keyed = self.sources.withColumn("source_key", F.coalesce(F.concat(F.lit("+"), "source"), F.lit("-"))).drop("source", "blocks", "quota")
+        self.docs = attach_groups(rows, keyed, "source_key", "documents", self.rows).drop("source_key", "documents")
 
     def picks(self) -> DataFrame:
         """One row a slot: shard, slot, source_index, round, block_index."""
-        spark, plan, before = self.docs.sparkSession, [], np.zeros(len(self.quotas), np.int64)
-        for shard, got in shard_counts(self.quotas, self.slots, self.seed):
-            at = 0
-            for k in np.flatnonzero(got):
-                plan.append((shard, int(k), int(before[k]), int(got[k]), at))
-                at += int(got[k])
-            before += got
-        blocks, seed = list(self.blocks), self.seed
+        shards, seed = self.shards, self.seed
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for source, blocks, quota in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    shard, n = dealt(quota, shards, np.random.default_rng([seed, source]))
+                    yield pa.RecordBatch.from_pydict({"source_index": pa.array(np.full(len(n), source)), "blocks": pa.array(np.full(len(n), blocks)), "shard": pa.array(shard), "first": pa.array(np.cumsum(n) - n), "n": pa.array(n)})
 
         def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for shard, source, first, n, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    k = np.arange(first, first + n)
-                    rounds, index = k // blocks[source], k % blocks[source]
-                    for r in np.unique(rounds):
-                        own = np.flatnonzero(rounds == r)
-                        index[own] = permuted(index[own], blocks[source], (seed * 1_000_003 + source) * 101 + int(r))
+                for source, blocks, shard, first, n, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     for a in range(0, n, 1 << 16):
-                        b = min(n, a + (1 << 16))
-                        yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(b - a, shard)), "slot": pa.array(np.arange(at + a, at + b)), "source_index": pa.array(np.full(b - a, source, np.int32)), "round": pa.array(rounds[a:b].astype(np.int32)), "block_index": pa.array(index[a:b])})
-
-        table = spark.createDataFrame(plan, "shard long, source_index int, first long, n long, at long").repartition(max(1, min(len(plan), 200)))
-        return table.mapInArrow(released(fill), "shard long, slot long, source_index int, round int, block_index long")
+                        k = np.arange(first + a, first + min(n, a + (1 << 16)))
+                        rounds, index = k // blocks, k % blocks
+                        for r in np.unique(rounds):
+                            own = np.flatnonzero(rounds == r)
+                            index[own] = permuted(index[own], blocks, [seed, source, int(r)])
+                        yield pa.RecordBatch.from_pydict({"shard": pa.array(np.full(len(k), shard)), "slot": pa.array(at + a + np.arange(len(k))), "source_index": pa.array(np.full(len(k), source)), "round": pa.array(rounds.astype(np.int32)), "block_index": pa.array(index)})
+
+        counts = self.sources.filter("quota > 0").select("source_index", "blocks", "quota").mapInArrow(released(deal), "source_index long, blocks long, shard long, first long, n long")
+        before = Window.partitionBy("shard").orderBy("source_index").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("at", F.coalesce(F.sum("n").over(before), F.lit(0)))
+        return counts.mapInArrow(released(fill), "shard long, slot long, source_index long, round int, block_index long")
 
     def pieces(self) -> DataFrame:
         """One row a document and block that share words: rid, doc_id, source_index, block_index, piece_start, piece_words. A document without words has none."""
         buckets = max(1, math.ceil(4 * math.sqrt(max(1, self.rows))))
-        own = self.docs.filter("size > 0").select("rid", "doc_id", "source_index", "size", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"))
+        own = self.docs.filter("size > 0").select("rid", "doc_id", "source_index", "block", "size", "h", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("rid")), "h"), F.lit(buckets)).alias("bucket"))
         sums = own.groupBy("source_index", "bucket").agg(F.sum("size").alias("n"))
         earlier = Window.partitionBy("source_index").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
         bases = sums.select("source_index", "bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
-        inside = Window.partitionBy("source_index", "bucket").orderBy("doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, -1)
+        inside = Window.partitionBy("source_index", "bucket").orderBy("doc_id", "h", "rid").rowsBetween(Window.unboundedPreceding, -1)
         placed = own.withColumn("inner", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(bases, ["source_index", "bucket"]).withColumn("start", F.col("base") + F.col("inner"))
-        n = self.block
-        cut = placed.select("rid", "doc_id", "source_index", "size", "start", F.explode(F.expr(f"sequence(start div {n}, (start + size - 1) div {n})")).alias("block_index"))
-        low, high = F.greatest(F.col("block_index") * n, F.col("start")), F.least((F.col("block_index") + 1) * n, F.col("start") + F.col("size"))
+        cut = placed.select("rid", "doc_id", "source_index", "block", "size", "start", F.explode(F.expr("sequence(start div block, (start + size - 1) div block)")).alias("block_index"))
+        low, high = F.greatest(F.col("block_index") * F.col("block"), F.col("start")), F.least((F.col("block_index") + 1) * F.col("block"), F.col("start") + F.col("size"))
         return cut.select("rid", "doc_id", "source_index", "block_index", (low - F.col("start")).alias("piece_start"), (high - low).alias("piece_words"))
 
     def taken(self) -> DataFrame:

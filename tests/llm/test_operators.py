@@ -229,14 +229,25 @@ def test_backoff_scores(spark):
             assert got[d].score is None if not w else got[d].score == pytest.approx(total / len(w))
 
 
-def test_targets_and_permutation():
-    assert mixing.targets([100, 100, 100], [5, 2, 1]) == pytest.approx([187.5, 75.0, 37.5])
-    assert mixing.targets([10, 1000], [5, 2]) == pytest.approx([30, 980])
-    assert mixing.targets([0, 50], [5, 2]) == pytest.approx([0, 50])
+def test_targets(spark):
+    for sizes, want in (([100, 100, 100], [187.5, 75.0, 37.5]), ([10, 1000], [30, 980]), ([0, 50], [0, 50]), ([0, 0], [0, 0])):
+        rows = spark.createDataFrame([(f"s{k}", n) for k, n in enumerate(sizes)], "source string, size long")
+        got = mixing.source_table(rows).orderBy("source_index").collect()
+        assert [r.target for r in got] == pytest.approx(want) and sum(r.target for r in got) == pytest.approx(sum(sizes))
+
+
+def test_permutation():
     for n in (1, 2, 3, 10, 1000):
         assert sorted(mixing.permuted(np.arange(n), n, 5).tolist()) == list(range(n))
 
 
+def test_many_small_sources_come_near_their_targets(spark):
+    rows = [(k, " ".join(f"w{j}" for j in range(50)), "en", f"s{k % 300:03}") for k in range(600)] + [(1000 + k, "a b " * 500, "en", None) for k in range(3)]
+    got = mixing.Mix(fixtures.table(spark, rows))
+    out = got.docs.join(got.taken(), "rid", "left").fillna(0, ["taken"]).groupBy("source").agg(*[f(c).alias(c) for f, c in ((mixing.F.sum, "taken"), (mixing.F.max, "target"), (mixing.F.max, "source_size"))]).collect()
+    assert len(out) == 301 and all(abs(r.taken - r.target) <= 1 + 0.02 * r.target for r in out)
+
+
 def test_mixing(spark):
     rows = fixtures.random_texts(8, 400, length=300)
     docs = fixtures.table(spark, rows)
