@@ -43,7 +43,7 @@ def feature(c: Column, name: str) -> Column:
 
 
 def prefix_sums(df: DataFrame, order: str, value: str, out: str, rows: int) -> DataFrame:
-    """`df` with `out` = the sum of `value` over all rows before it in the order of a unique long column.
+    """`df` with `out` = the sum of `value` over all rows before it in the order of a unique long column, dense in 0 to `rows` (`numbered` makes one).
 
     Two levels of about sqrt(rows) each, so no window holds more than that.
     """

@@ -27,31 +27,32 @@ def annotated(tokens: DataFrame) -> DataFrame:
 
 
 def lines_to_tokens(rows: DataFrame, n_rows: int) -> tuple[DataFrame, DataFrame]:
-    """From (doc_id, text): tokens (pos, doc_id, sent_id, i, form) and sentences (idx, start, end, doc_id, n).
+    """From (rid, doc_id, text), rid dense: tokens (pos, doc_id, rid, sent_id, i, form) and sentences (idx, start, end, rid, n).
 
     A line is a sentence if it has a token; tokens are runs without space or tab.
     """
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.array_remove(F.split(x, "[ \t]+"), "")), lambda x: F.size(x) > 0)
-    docs = rows.select("doc_id", lines.alias("lines")).withColumn("n_tokens", F.size(F.flatten("lines")).cast("long")).withColumn("n_lines", F.size("lines").cast("long"))
-    docs = prefix_sums(prefix_sums(docs, "doc_id", "n_tokens", "first", n_rows), "doc_id", "n_lines", "first_line", n_rows)
-    each = docs.select("doc_id", "first", "first_line", "lines", F.posexplode("lines").alias("k", "line"))
+    docs = rows.select("rid", "doc_id", lines.alias("lines")).withColumn("n_tokens", F.size(F.flatten("lines")).cast("long")).withColumn("n_lines", F.size("lines").cast("long"))
+    docs = prefix_sums(prefix_sums(docs, "rid", "n_tokens", "first", n_rows), "rid", "n_lines", "first_line", n_rows)
+    each = docs.select("rid", "doc_id", "first", "first_line", "lines", F.posexplode("lines").alias("k", "line"))
     before = F.aggregate(F.slice("lines", F.lit(1), F.col("k")), F.lit(0).cast("long"), lambda a, x: a + F.size(x))
-    each = each.select("doc_id", (F.col("first_line") + F.col("k")).alias("sent_id"), (F.col("first") + before).alias("start"), "line")
-    tokens = each.select("doc_id", "sent_id", "start", F.posexplode("line").alias("at", "form"))
-    tokens = tokens.select((F.col("start") + F.col("at")).alias("pos"), "doc_id", "sent_id", (F.col("at") + 1).alias("i"), "form")
-    sents = each.select(F.col("sent_id").alias("idx"), "start", (F.col("start") + F.size("line") - 1).alias("end"), "doc_id", F.size("line").cast("long").alias("n"))
+    each = each.select("rid", "doc_id", (F.col("first_line") + F.col("k")).alias("sent_id"), (F.col("first") + before).alias("start"), "line")
+    tokens = each.select("rid", "doc_id", "sent_id", "start", F.posexplode("line").alias("at", "form"))
+    tokens = tokens.select((F.col("start") + F.col("at")).alias("pos"), "doc_id", "rid", "sent_id", (F.col("at") + 1).alias("i"), "form")
+    sents = each.select(F.col("sent_id").alias("idx"), "start", (F.col("start") + F.size("line") - 1).alias("end"), "rid", F.size("line").cast("long").alias("n"))
     return tokens, sents
 
 
 def document_corpus(spark: SparkSession, docs: DataFrame) -> Corpus:
     """text (lang, source), s (len), nested node (type S, B4, B2), overlapping win (k), zero-width gap, group pair (type)."""
-    tokens, sents = lines_to_tokens(docs.select("doc_id", "text"), docs.count())
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    docs = numbered(docs.select("doc_id", "text", "lang", "source"), ["doc_id"], "rid", f"{path}/docs")
+    tokens, sents = lines_to_tokens(docs, docs.count())
     tokens.write.parquet(f"{path}/raw"), sents.write.parquet(f"{path}/sents")
     tokens, sents = spark.read.parquet(f"{path}/raw"), spark.read.parquet(f"{path}/sents")
-    spans = sents.groupBy("doc_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    text = spans.join(docs.select("doc_id", F.coalesce("lang", F.lit("_")).alias("lang"), F.coalesce("source", F.lit("_")).alias("source")), "doc_id")
-    text = text.select(F.col("doc_id").alias("idx"), "start", "end", "lang", "source", F.col("doc_id").cast("string").alias("id"))
+    spans = sents.groupBy("rid").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    text = spans.join(docs.select("rid", "doc_id", F.coalesce("lang", F.lit("_")).alias("lang"), F.coalesce("source", F.lit("_")).alias("source")), "rid")
+    text = text.select(F.col("rid").alias("idx"), "start", "end", "lang", "source", F.coalesce(F.col("doc_id").cast("string"), F.lit("_")).alias("id"))
     s = sents.select("idx", "start", "end", F.col("n").cast("string").alias("len"))
     blocks = [sents.select((F.col("start") * 4).alias("idx"), "start", "end", F.lit("S").alias("type"))]
     for size, mark in ((4, 1), (2, 2)):
@@ -61,21 +62,22 @@ def document_corpus(spark: SparkSession, docs: DataFrame) -> Corpus:
     win = sents.select("start", "end", F.explode(F.expr("sequence(start, end, 4)")).alias("at")).select(F.col("at").alias("idx"), F.col("at").alias("start"), F.least(F.col("at") + 7, F.col("end")).alias("end"), F.when(F.expr("((at - start) div 4) % 2") == 0, "even").otherwise("odd").alias("k"))
     gap = sents.filter("n >= 6").select("idx", (F.col("start") + 3).alias("start"), (F.col("start") + 2).alias("end"), F.lit("pause").alias("type"))
     pair = sents.filter("n >= 2").select(F.col("idx").cast("string").alias("gid"), F.col("start").alias("first"), F.col("end").alias("last"), F.array(F.struct(F.col("start").alias("start"), F.col("start").alias("end")), F.struct(F.col("end").alias("start"), F.col("end").alias("end"))).alias("spans"), F.create_map(F.lit("type"), F.when(F.col("n") % 2 == 0, "even").otherwise("odd")).alias("props"))
-    return Corpus.from_dataframes(annotated(tokens), {"text": text, "s": s, "node": node, "win": win, "gap": gap}, {"node": "nested", "win": "overlapping", "gap": "zerowidth"}, {"pair": pair}, multivalue=("tags",)).save(f"{path}/corpus")
+    tokens = annotated(tokens.withColumnsRenamed({"rid": "r_text"}).withColumn("r_s", F.col("sent_id")))
+    return Corpus.from_dataframes(tokens, {"text": text, "s": s, "node": node, "win": win, "gap": gap}, {"node": "nested", "win": "overlapping", "gap": "zerowidth"}, {"pair": pair}, multivalue=("tags",)).save(f"{path}/corpus")
 
 
 def conversation_corpus(spark: SparkSession, turns: DataFrame) -> Corpus:
     """text = conversation, s = turn with role and tuid: turns 2k and 2k+1 of a conversation share one."""
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    rows = numbered(turns.select("conv_id", "turn", "role", "text"), ["conv_id", "turn", "role", "text"], "doc_id", f"{path}/turns")
-    tokens, sents = lines_to_tokens(rows.select("doc_id", "text"), rows.count())
+    rows = numbered(turns.select("conv_id", "turn", "role", "text"), ["conv_id", "turn", "role", "text"], "rid", f"{path}/turns").withColumn("doc_id", F.col("rid"))
+    tokens, sents = lines_to_tokens(rows, rows.count())
     tokens.write.parquet(f"{path}/raw"), sents.write.parquet(f"{path}/sents")
     tokens, sents = spark.read.parquet(f"{path}/raw"), spark.read.parquet(f"{path}/sents")
-    spans = sents.groupBy("doc_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    spans = sents.groupBy("rid").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     tuid = F.concat_ws("-", F.col("conv_id").cast("string"), F.expr("turn div 2").cast("string"))
-    s = spans.join(rows.select("doc_id", "role", tuid.alias("tuid")), "doc_id").select(F.col("doc_id").alias("idx"), "start", "end", "role", "tuid")
-    text = spans.join(rows.select("doc_id", "conv_id"), "doc_id").groupBy("conv_id").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(F.col("conv_id").alias("idx"), "start", "end", F.col("conv_id").cast("string").alias("id"))
-    tokens = annotated(tokens)
+    s = spans.join(rows.select("rid", "role", tuid.alias("tuid")), "rid").select(F.col("rid").alias("idx"), "start", "end", "role", "tuid")
+    text = spans.join(rows.select("rid", "conv_id"), "rid").groupBy("conv_id").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(F.col("conv_id").alias("idx"), "start", "end", F.col("conv_id").cast("string").alias("id"))
+    tokens = annotated(tokens.withColumnsRenamed({"rid": "r_s"}))
     return Corpus.from_dataframes(tokens, {"text": text, "s": s}, multivalue=("tags",)).save(f"{path}/corpus")
 
 

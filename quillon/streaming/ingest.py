@@ -7,10 +7,13 @@ its own rows: each has a folder of its own.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions.text import numbered
 from ..sources.tables import annotated, lines_to_tokens
 
 BATCHES = "batch long, first long, size long, sents long"
@@ -25,13 +28,12 @@ def append(docs: DataFrame, batch: int, path: str) -> None:
     spark = docs.sparkSession
     spark.createDataFrame([], BATCHES).write.mode("overwrite").parquet(f"{path}/batches/start")
     before = _done(spark, path).filter(F.col("batch") < batch).agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("sents"), F.lit(0))).first()
-    docs = docs.select("doc_id", "text").dropDuplicates(["doc_id"]).cache()
+    docs = numbered(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), ["doc_id"], "rid", f"{path}/numbered/{batch}-{uuid.uuid4().hex}")
     tokens, sents = lines_to_tokens(docs, docs.count())
-    tokens = annotated(tokens).withColumn("pos", F.col("pos") + before[0]).withColumn("sent_id", F.col("sent_id") + before[1]).withColumn("head_pos", F.col("head_pos") + before[0])
+    tokens = annotated(tokens).drop("rid").withColumn("pos", F.col("pos") + before[0]).withColumn("sent_id", F.col("sent_id") + before[1]).withColumn("head_pos", F.col("head_pos") + before[0])
     tokens.write.mode("overwrite").parquet(f"{path}/tokens/batch={batch}")
     n = sents.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("s")).first()
     spark.createDataFrame([(batch, before[0], n["n"], n["s"])], BATCHES).write.mode("overwrite").parquet(f"{path}/batches/{batch}")
-    docs.unpersist()
 
 
 def ingest(docs: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:

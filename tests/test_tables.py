@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from quillon import queries as q
-from quillon.sources.tables import corpus_of
+from quillon.sources.tables import corpus_of, document_corpus
 
 ALIGNED = ["aligned_pairs", "aligned_condition", "aligned_named"]
 
@@ -35,3 +35,11 @@ def test_each_turn_is_one_region(spark, hot):
     s = c.structs["s"]
     assert s.count() == s.select("idx").distinct().count() == 5000 - 1000 + 1000 + 3
     assert [r[0] for r in c.structs["text"].orderBy("start").select("idx").collect()] == [6, 7, 8]
+
+
+def test_sparse_and_null_ids_lose_no_token(spark):
+    docs = spark.createDataFrame([(10**15, "a b", "en", "x"), (None, "c d e", None, None), (None, "f", "en", "y"), (-5, "g h\n\ni", "en", "x"), (3, None, "en", "x")], "doc_id long, text string, lang string, source string")
+    c = document_corpus(spark, docs)
+    assert c.meta.size == 9 and c.check() == {"size": 0, "positions": 0, "heads": 0, "spans": 0}
+    assert sorted(r.form for r in c.tokens.select("form").collect()) == list("abcdefghi")
+    assert c.structs["text"].count() == 4 and c.structs["s"].count() == 5
