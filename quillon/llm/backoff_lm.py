@@ -26,10 +26,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import from_planes, from_planes_of, packed, planes, planes_of, unpacked
-from .common import documents, materialize, released
+from .common import documents, materialize, release, released
 from .minhash import Words, _mix
 
 ORDER = 2
+CHUNK = 2 << 20
 BACKOFF = 0.4
 _SALT = np.random.default_rng(77).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
 
@@ -91,6 +92,7 @@ def corpus_counts(tables: DataFrame) -> DataFrame:
             if more.any():
                 rows.append((chunk, bucket, np.packbits(more).tobytes(), planes_of(own[more])))
         cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+        release()
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "bucket", "more", "totals"])
 
     return tables.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, more binary, totals binary")
@@ -128,6 +130,8 @@ def scored(chunks: DataFrame, counts: DataFrame, order: int, words: int, buckets
             ids += doc_ids
             n_words += own_words.tolist()
             scores += [s / n if n else None for s, n in zip(sums.tolist(), own_words.tolist(), strict=True)]
+        memo.clear()
+        release()
         return pa.table([pa.array(ids, pa.int64()), pa.array(n_words, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "n_words", "score"])
 
     return chunks.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(run, "doc_id long, n_words long, score double")
@@ -136,7 +140,7 @@ def scored(chunks: DataFrame, counts: DataFrame, order: int, words: int, buckets
 def backoff_scores(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, score for each row of `docs`."""
     spark = docs.sparkSession
-    chunks = materialize(packed(docs, id_col, text_col), "lm-chunks")
+    chunks = materialize(packed(docs, id_col, text_col, CHUNK), "lm-chunks")
     words = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), ""))
     total = docs.agg(F.sum(words.cast("long")).alias("words"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
     buckets = max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), (total["bytes"] or 0) // (8 << 20))

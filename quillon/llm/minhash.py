@@ -11,12 +11,18 @@ probability 1 - (1 - s^ROWS)^BANDS: at 0.8 all but 1.3e-7 of links meet, at 0.85
 2. Every bucket of two or more classes tests each against the smallest one, its pivot: as many
    pairs as members. Pairs whose sizes forbid a link go first; the rest are confirmed on full sets.
 3. Components of these links. Buckets whose members are all in one component are done, as are pairs.
-4. In every other bucket, members of different components are still to be compared. Its largest
-   component is dealt in blocks; the others meet every block, and each other in pairs of blocks. A
-   task has one or two blocks, counts exact intersections by matrix products over shared shingles,
-   and returns only the links that join components. Components again.
-
-So buckets have no cap, no group is gathered whole, and rows grow with members, not with pairs.
+4. In every other bucket, members of different components are still to be compared. Those of a
+   bucket of at most `BLOCK` members go to one task. Members of larger ones are split by what they
+   share: two sets of similarity t have a shingle in common among the |x| - ceil(t|x|) + 1 shingles
+   of each that are in the fewest sets, so members meet under those shingles alone (most occur in no
+   other set and lead nowhere). A shingle with at most `FEW` members gives pairs, which are confirmed
+   on full sets; one with more deals its largest component in blocks, which the others meet, and each
+   other in pairs of blocks. A task has one or two blocks, counts exact intersections by matrix
+   products over shared shingles, and returns only the links that join components. Components again.
+
+So buckets have no cap and no group is gathered whole. Members of one bucket that are unlike each
+other cost rows in proportion to their shingles. Only where more than FEW members share even their
+rarest shingles, and are still not linked through a pivot, do rows grow with members x blocks.
 
 Defined results: null or empty text, or text of white space, has an empty set, is a group of its own
 and is kept; fewer than five words are one shingle; null ids sort last; rows that repeat an id and
@@ -31,7 +37,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import attach_groups, discard, documents, materialize, released
@@ -41,6 +47,7 @@ WORDS = 5
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 BLOCK = 512
+FEW = 48
 _RNG = np.random.default_rng(10)
 _PLACE = _RNG.integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
 _ROUND = _RNG.integers(1, 2**63, 2 * BINS, dtype=np.uint64)
@@ -60,10 +67,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class Words(dict):
-    """64-bit hashes of words, kept; a full memo starts afresh."""
+    """64-bit hashes of words, kept; a full memo (at most 256 Ki words, about 32 MB) starts afresh. Long words are not kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
+        if len(word) > 64:
+            return xxhash.xxh3_64_intdigest(word)
+        if len(self) >= 1 << 18:
             self.clear()
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
@@ -194,12 +203,55 @@ def block_links(ids: np.ndarray, component: np.ndarray, sets: list[np.ndarray],
     return out
 
 
-def remaining_links(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links between members of different components of a bucket. members: key, cid, n, component."""
-    parts = materialize(members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size")), "near-parts")
+def open_buckets(members: DataFrame) -> DataFrame:
+    """key, main (the largest component), n_main, n_other, members: buckets that have several components and aren't mere pairs."""
+    parts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
     main = parts.groupBy("key").agg(F.max(F.struct("size", (-F.col("component")).alias("component"))).alias("m"), F.sum("size").alias("members"), F.count(F.lit(1)).alias("components")).filter("components > 1 AND members > 2")
-    main = materialize(main.select("key", (-F.col("m.component")).alias("main"), F.col("m.size").alias("n_main"), (F.col("members") - F.col("m.size")).alias("n_other"), "members"), "near-open")
+    return materialize(main.select("key", (-F.col("m.component")).alias("main"), F.col("m.size").alias("n_main"), (F.col("members") - F.col("m.size")).alias("n_other"), "members"), "near-open")
+
+
+def rare_postings(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """key (a shingle), cid, n, component, df: members under their rarest shingles, as many as it takes for two linked sets to share one. A written table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(1).to_numpy()
+            raw = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(k).to_numpy(), sizes)) for k in range(3)] + [pa.array(raw)], names=["cid", "n", "component", "key"])
+
+    wanted = members.select("cid", "n", "component").distinct().join(sets, "cid").select("cid", "n", "component", "set")
+    every = materialize(wanted.mapInArrow(released(run), "cid long, n long, component long, key long"), "near-shingles")
+    common = materialize(every.groupBy("key").agg(F.count(F.lit(1)).alias("df")), "near-common")
+    ranked = attach_groups(every, common, "key", "df", every.count())
+    first = Window.partitionBy("cid").orderBy("df", "key")
+    out = ranked.withColumn("nth", F.row_number().over(first)).filter(F.col("nth") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    out = materialize(out.filter("df > 1").drop("nth"), "near-postings")
+    discard(every, common)
+    return out
+
+
+def remaining_links(members: DataFrame, sets: DataFrame, percent: int, block: int, few: int = FEW) -> DataFrame:
+    """Links between members of different components of a bucket. members: key, cid, n, component; with sets a written table."""
+    main = open_buckets(members)
     met = attach_groups(members, main, "key", "members", members.count()).filter("main IS NOT NULL")
+    met = materialize(met, "near-unsettled")
+    small, large = met.filter(F.col("members") <= block), met.filter(F.col("members") > block)
+    found = block_groups(small, sets, percent, block)
+    if large.limit(1).count():
+        postings = rare_postings(large, sets, percent)
+        some = postings.filter(F.col("df") <= few)
+        a, b = (some.select("key", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "n", "component")]) for x in "ab")
+        near = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (F.col("component_a") != F.col("component_b"))
+        pairs = a.join(b, "key").filter("cid_a < cid_b").filter(near).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
+        sided = pairs.join(sets.select(F.col("cid").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("cid").alias("b"), F.col("set").alias("set_b")), "b")
+        many = postings.filter(F.col("df") > few).drop("df")
+        main = open_buckets(many)
+        found = found.unionByName(confirmed(sided, percent)).unionByName(block_groups(attach_groups(many, main, "key", "members", many.count()).filter("main IS NOT NULL"), sets, percent, block))
+    return found
+
+
+def block_groups(met: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links out of comparisons of blocks. met: key, cid, component and what `open_buckets` says of the key."""
     main_blocks, other_blocks = F.ceil(F.col("n_main") / block).cast("int"), F.ceil(F.col("n_other") / block).cast("int")
     own = F.pmod(F.xxhash64("cid"), F.when(F.col("component") == F.col("main"), main_blocks).otherwise(other_blocks)).cast("int")
     met = met.withColumn("own", own).withColumn("main_blocks", main_blocks).withColumn("other_blocks", other_blocks)

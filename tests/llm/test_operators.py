@@ -128,6 +128,45 @@ def test_near_duplicates(spark, block):
     assert sorted(r.doc_id for r in left) == [d for d in ids if find(d) == d]
 
 
+@pytest.mark.parametrize(("members", "few"), [(20_000, 48), (1500, 2)])
+def test_one_bucket_of_many_unlinked_members(spark, members, few):
+    r = np.random.default_rng(3)
+    common, sets = r.integers(1, 2**62, 25), []
+    for k in range(members):
+        own = sets[k - k % 500].copy() if k % 500 in (1, 2, 3, 4) else np.concatenate([common, r.integers(1, 2**62, 25)])
+        own[-2:] = r.integers(1, 2**62, 2)  # 48 of 52: five that are linked among each other
+        sets.append(own)
+    schema = "cid long, set binary"
+    table = spark.createDataFrame([(k, np.sort(x.astype(np.uint64)).tobytes()) for k, x in enumerate(sets)], schema)
+    rows = spark.range(members).selectExpr("7L AS key", "id AS cid", "50L AS n", "id AS component")
+    groups = {k: {k} for k in range(members)}
+    for x in minhash.remaining_links(rows, table, 80, 512, few).collect():
+        both = groups[x.a] | groups[x.b]
+        groups |= dict.fromkeys(both, both)
+    assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(range(k, k + 5)) for k in range(0, members, 500)}
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_recall_of_links_at_the_threshold(spark, percent):
+    """Pairs whose similarity is just at the threshold are found, those just below are not."""
+    r = random.Random(percent)
+    rows, want = [], {}
+    for k in range(300):
+        n = 200
+        w = [f"w{r.randrange(10**9)}" for _ in range(n + 4)]
+        # a changed word every 40 places changes 5 shingles; as many as the threshold allows, or one more
+        common = -(-2 * percent * n // (100 + percent))
+        changes = (n - common) // 5 + (k % 2)
+        other = list(w)
+        for c in range(changes):
+            other[10 + c * 10] = f"x{r.randrange(10**9)}"
+        rows += [(2 * k, " ".join(w), "en", "s"), (2 * k + 1, " ".join(other), "en", "s")]
+        same = n - 5 * changes
+        want[2 * k + 1] = 2 * k if 100 * same >= percent * (2 * n - same) else 2 * k + 1
+    got = {x.doc_id: x.component_id for x in minhash.near_duplicates(fixtures.table(spark, rows), percent=percent).collect()}
+    assert {d: got[d] for d in want} == want and len(set(want.values())) == 300
+
+
 def test_sketch_fills_and_estimates():
     r = np.random.default_rng(1)
     for n in (1, 2, 7, 300, 5000):
