@@ -49,6 +49,7 @@ class Corpus:
     def __init__(self, tokens: DataFrame, structs: dict[str, DataFrame], meta: Meta, groups: dict[str, DataFrame] | None = None):
         self.tokens, self.structs, self.meta, self.groups = tokens, structs, meta, groups or {}
         self.spark = tokens.sparkSession
+        self.chains: dict[str, DataFrame] = {}  # ancestors of nested structures, once asked for
 
     @classmethod
     def from_dataframes(cls, tokens: DataFrame, structs: dict[str, DataFrame] | None = None, modes: dict[str, str] | None = None, groups: dict[str, DataFrame] | None = None, multivalue: tuple = (), kv_pipe: tuple = ("feats",), default_within: str | None = None, size: int | None = None) -> Corpus:

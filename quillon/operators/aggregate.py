@@ -28,7 +28,7 @@ def count(low: Lowering, m: Matches, fields: tuple, limit: int | None = 1000, ex
     """Fields, count, pct (of all matches with a value), by falling count."""
     df, names = keyed(low, m, fields, explode_sets)
     total = keyed(low, m, fields, False)[0].agg(F.count(F.lit(1)).alias("total"))
-    got = df.groupBy(*names).agg(F.count(F.lit(1)).alias("count")).join(F.broadcast(total))
+    got = df.groupBy(*names).agg(F.count(F.lit(1)).alias("count")).withColumn("total", total.scalar())
     got = got.select(*[F.col(n).alias(f) for n, f in zip(names, fields, strict=True)], "count", (100.0 * F.col("count") / F.col("total")).alias("pct"))
     got = got.orderBy(F.desc("count"), *[value(f) for f in fields])
     return got.limit(limit) if limit else got
@@ -43,7 +43,7 @@ def hierarchy(low: Lowering, m: Matches, fields: tuple) -> DataFrame:
     total = up.filter("p_level = 0").select(F.col("p_count").alias("total"))
     joined = got.filter("level > 0").withColumn("up", F.col("level") - 1)
     prefix = lambda p: F.to_json(F.struct(*[F.when(F.col(f"{p}level") > (k + (1 if p == "" else 0)), F.col(f"{p}{n}")).alias(n) for k, n in enumerate(names)]))
-    joined = joined.withColumn("prefix", prefix("")).join(up.withColumn("prefix", prefix("p_")).select("prefix", F.col("p_level").alias("up"), "p_count"), ["prefix", "up"]).join(F.broadcast(total))
+    joined = joined.withColumn("prefix", prefix("")).join(up.withColumn("prefix", prefix("p_")).select("prefix", F.col("p_level").alias("up"), "p_count"), ["prefix", "up"]).withColumn("total", total.scalar())
     return joined.select(*[F.col(n).alias(f) for n, f in zip(names, fields, strict=True)], F.col("level").cast("long").alias("level"), "count", (100.0 * F.col("count") / F.col("total")).alias("pct"), (100.0 * F.col("count") / F.col("p_count")).alias("pct_of_parent"))
 
 
@@ -51,7 +51,7 @@ def frequency(low: Lowering, m: Matches, fields: tuple) -> DataFrame:
     """As count, with ipm; for one region attribute the base is the tokens of regions with that value."""
     df, names = keyed(low, m, fields)
     total = keyed(low, m, fields, False)[0].agg(F.count(F.lit(1)).alias("total"))
-    got = df.groupBy(*names).agg(F.count(F.lit(1)).alias("count")).join(F.broadcast(total))
+    got = df.groupBy(*names).agg(F.count(F.lit(1)).alias("count")).withColumn("total", total.scalar())
     size, out = F.lit(low.corpus.meta.size), [F.col(n).alias(f) for n, f in zip(names, fields, strict=True)]
     attr = fields[0].rpartition(".")[2]
     region = low.corpus.region_attribute(attr) if len(fields) == 1 and low.corpus.attribute(attr) is None else None
@@ -88,7 +88,7 @@ def _measured(low: Lowering, window: DataFrame, attr: str, measures: tuple, min_
     obs = seen.groupBy("v").agg(F.count(F.lit(1)).alias("obs"))
     size = seen.agg(F.count(F.lit(1)).alias("f"))
     freq = values.groupBy("v").agg(F.count(F.lit(1)).alias("freq"))
-    got = obs.filter(F.col("obs") >= min_freq).join(freq, "v").join(F.broadcast(size))
+    got = obs.filter(F.col("obs") >= min_freq).join(freq, "v").withColumn("f", size.scalar())
     n = F.lit(low.corpus.meta.size)
     got = got.select(F.col("v").alias(attr), "obs", "freq", *[association(x, F.col("obs"), F.col("f"), F.col("freq"), n).alias(x) for x in measures])
     got = got.orderBy(F.desc(measures[0]), F.desc("obs"), value(attr))
@@ -137,8 +137,8 @@ def keywords(low: Lowering, m: Matches, attr: str, versus: Matches | None = None
         both = focus.join(per(versus, "reference"), "v", "full").fillna(0, ["focus", "reference"])
     else:
         both = values.groupBy("v").agg(F.count(F.lit(1)).alias("all")).join(focus, "v", "left").fillna(0, ["focus"]).withColumn("reference", F.greatest(F.col("all") - F.col("focus"), F.lit(0))).drop("all")
-    sums = both.agg(F.sum("focus").alias("na"), F.sum("reference").alias("nb"))
-    got = both.filter("focus > 0").join(F.broadcast(sums)).select(F.col("v").alias(attr), "focus", "reference", keyness(F.col("focus"), F.col("reference"), F.col("na"), F.col("nb")).alias("keyness"))
+    focused, compared = (both.agg(F.sum(c)).scalar() for c in ("focus", "reference"))
+    got = both.filter("focus > 0").withColumns({"na": focused, "nb": compared}).select(F.col("v").alias(attr), "focus", "reference", keyness(F.col("focus"), F.col("reference"), F.col("na"), F.col("nb")).alias("keyness"))
     got = got.orderBy(F.desc(F.abs("keyness")), value(attr))
     return got.limit(limit) if limit else got
 

@@ -183,14 +183,21 @@ class Lowering:
         return df.join(self.ancestors(struct).select(F.col("idx").alias(f"{other}__idx"), F.col("anc").alias(f"{this}__idx")), [f"{other}__idx", f"{this}__idx"], "left_semi")
 
     def ancestors(self, struct: str) -> DataFrame:
-        """idx and every region on its parent chain, itself included; as many joins as the nesting is deep."""
-        up = self.corpus.structs[struct].select("idx", F.col("parent_idx").alias("anc")).filter("anc IS NOT NULL")
-        out = self.corpus.structs[struct].select("idx", F.col("idx").alias("anc"))
-        level = up
-        while level.limit(1).count():
-            out = out.unionByName(level)
-            level = level.alias("a").join(up.alias("b"), F.col("a.anc") == F.col("b.idx")).select("a.idx", "b.anc")
-        return out
+        """idx and every region on its parent chain, itself included; as many joins as the nesting is deep, each level computed once."""
+        known = self.corpus.chains
+        if struct not in known:
+            up = self.corpus.structs[struct].select("idx", F.col("parent_idx").alias("anc")).filter("anc IS NOT NULL")
+            out, level = self.corpus.structs[struct].select("idx", F.col("idx").alias("anc")), up.persist()
+            while True:
+                n, round_ = level.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("idx") == F.col("anc")).cast("long")), F.lit(0))).first()
+                if round_:
+                    raise CorpusError(f"{struct}: a region is its own ancestor")
+                if not n:
+                    break
+                out = out.unionByName(level)
+                level = level.alias("a").join(up.alias("b"), F.col("a.anc") == F.col("b.idx")).select("a.idx", "b.anc").persist()
+            known[struct] = out
+        return known[struct]
 
     def region_query(self, q: Query) -> Matches:
         """Anchors alone: each row is a match; a further anchor must be related to an earlier one by a function filter."""
