@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from pyspark.sql import SparkSession
 
 from .corpus import Corpus
 from .session import Session
+from .sources import conllu, jsonl, ptb, vrt
+
+READERS = {"conllu": conllu.read, "vrt": vrt.read, "jsonl": jsonl.read, "psd": ptb.read}
 
 
 def show(session: Session, program: str, as_json: bool) -> None:
@@ -26,11 +30,17 @@ def main(argv: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="quillon", description=__doc__)
     p.add_argument("corpus")
     p.add_argument("program", nargs="?")
+    p.add_argument("--load", metavar="FILE", help="read a .conllu, .vrt, .jsonl or .psd file, or JSON lines from standard input (-), into CORPUS first")
     p.add_argument("--dialect", default="native")
     p.add_argument("--json", action="store_true")
     p.add_argument("--set", action="append", default=[], metavar="NAME=VALUE")
     args = p.parse_args(argv)
-    session = Session(Corpus.open(SparkSession.builder.getOrCreate(), args.corpus), args.dialect)
+    spark = SparkSession.builder.getOrCreate()
+    if args.load == "-":
+        jsonl.read_stream(spark, sys.stdin.buffer, f"{args.corpus}-events").save(args.corpus)
+    elif args.load:
+        READERS[args.load.rpartition(".")[2]](spark, args.load).save(args.corpus)
+    session = Session(Corpus.open(spark, args.corpus), args.dialect)
     for pair in args.set:
         session.set(*pair.split("=", 1))
     if args.program:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import json
+import shutil
+from typing import BinaryIO
 
+from pyarrow import fs
 from pyspark.sql import SparkSession
 
 from ..corpus import Corpus, CorpusError
@@ -79,6 +82,15 @@ def read(spark: SparkSession, paths: str | list[str], pattern: str = "*.jsonl",
     return assemble(read_files(spark, paths, parse, pattern), **options)
 
 
+def read_stream(spark: SparkSession, stream: BinaryIO, folder: str, **options) -> Corpus:
+    """Events from an open stream such as standard input: copied block by block into a file of `folder`, which all executors must see."""
+    where, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    where.create_dir(root, recursive=True)
+    with where.open_output_stream(f"{root}/stream.jsonl") as out:
+        shutil.copyfileobj(stream, out, 1 << 20)
+    return read(spark, folder, **options)
+
+
 def read_overlay(spark: SparkSession, paths: str | list[str], size: int, pattern: str = "*.jsonl") -> Corpus:
     """A stand-off layer: regions and groups over `size` tokens of another corpus, which its header must count."""
     rows = read_files(spark, paths, parse, pattern).cache()

@@ -1,4 +1,6 @@
+import io
 import json
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -204,3 +206,10 @@ def test_many_group_properties(spark):
     groups = spark.range(1).selectExpr("'1' AS gid", "array(struct(0L AS start, 0L AS end)) AS spans", "map_from_arrays(transform(sequence(1, 1050), k -> format_string('p%04d', k)), transform(sequence(1, 1050), k -> string(k))) AS props")
     got = with_group_columns(tokens, "g", groups)
     assert len(got.columns) == 1 + 1 + 1050 and "g_p1050" in got.columns
+
+
+def test_events_from_a_stream(spark, tmp_path, capsys, monkeypatch):
+    text = "\n".join(json.dumps(e) for e in JSONL[:5]) + "\n"
+    monkeypatch.setattr("sys.stdin", SimpleNamespace(buffer=io.BytesIO(text.encode())))
+    main([f"{tmp_path}/c", '[upos="NOUN"] > [upos="DET"]; size', "--load", "-"])
+    assert capsys.readouterr().out.strip() == "1"
