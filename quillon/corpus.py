@@ -82,8 +82,11 @@ class Corpus:
 
     def save(self, path: str, partitions: int | None = None) -> Corpus:
         """Parquet, tokens sorted by position, and the metadata as a one-row JSON table; returns the saved corpus."""
-        tokens = self.tokens.repartitionByRange(*([partitions] if partitions else []), "pos").sortWithinPartitions("pos")
+        # a range partitioning first samples what it gets, so that is written before, or it would be computed twice
+        self.tokens.write.parquet(f"{path}/unsorted")
+        tokens = self.spark.read.parquet(f"{path}/unsorted").repartitionByRange(*([partitions] if partitions else []), "pos").sortWithinPartitions("pos")
         tokens.write.parquet(f"{path}/tokens")
+        delete(self.spark, f"{path}/unsorted")
         for name, rows in self.structs.items():
             rows.write.parquet(f"{path}/structs/{name}")
         for name, rows in self.groups.items():
@@ -157,6 +160,12 @@ class Corpus:
         return covered(self.structs[struct])
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def covered(rows: DataFrame) -> DataFrame:
     return rows.filter("start <= end").select("*", F.explode(F.sequence("start", "end")).alias("pos"))
 
@@ -184,40 +193,56 @@ def with_group_columns(tokens: DataFrame, name: str, groups: DataFrame) -> DataF
     return tokens.join(per, "pos", "left").fillna("_", cols)
 
 
+def clocks(sent: np.ndarray, pos: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ein, eout, depth (-1 in a cycle) and n_children of tokens in order of sentence and position; head -1: none.
+
+    A head outside the sentence, or the token itself, makes a root. All sentences go at once: depths by
+    pointer jumping, sizes of subtrees from the deepest level up, places in preorder from the roots
+    down. With place p, depth d and subtree size n, a token is entered at 2p - d and left 2n - 1 later.
+    """
+    n = len(pos)
+    order = np.argsort(pos, kind="stable")
+    at = order[np.minimum(np.searchsorted(pos[order], head), max(n - 1, 0))] if n else order
+    me = np.arange(n)
+    parent = np.where((head >= 0) & (pos[at] == head) & (sent[at] == sent), at, me)
+    up, depth = parent.copy(), (parent != me).astype(np.int64)
+    children = np.bincount(parent[parent != me], minlength=n)
+    for _ in range(n.bit_length()):
+        depth, up = depth + depth[up], up[up]
+    depth[parent[up] != up] = -1
+    size = np.ones(n, np.int64)
+    ranked = np.lexsort((me, np.where(parent == me, sent, parent), depth))
+    ranked = ranked[depth[ranked] >= 0]
+    cuts = np.searchsorted(depth[ranked], np.arange(depth.max(initial=-1) + 2))
+    levels = [ranked[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    for level in reversed(levels[1:]):
+        np.add.at(size, parent[level], size[level])
+    place = np.zeros(n, np.int64)
+    for d, level in enumerate(levels):
+        family = parent[level] if d else sent[level]
+        before = np.cumsum(size[level]) - size[level]
+        first = np.concatenate([[True], family[1:] != family[:-1]])
+        before -= before[np.maximum.accumulate(np.where(first, np.arange(len(level)), 0))]
+        place[level] = before + (place[parent[level]] + 1 if d else 0)
+    ein = 2 * place - depth
+    return ein, ein + 2 * size - 1, depth, children
+
+
 def with_trees(tokens: DataFrame) -> DataFrame:
     """ein, eout, depth and n_children from head_pos: an Euler clock per sentence, sentences of a partition in one pass."""
     names = [c for c in tokens.columns if c not in ("ein", "eout", "depth", "n_children")]
     at = {c: k for k, c in enumerate(names)}
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.select(names).schema.fields) + ", ein long, eout long, depth long, n_children long"
 
-    def clock(pos: np.ndarray, head: list) -> list[tuple]:
-        place = {p: k for k, p in enumerate(pos.tolist())}
-        children: list[list[int]] = [[] for _ in pos]
-        roots = []
-        for k, h in enumerate(head):
-            (children[place[h]] if h in place and h != pos[k] else roots).append(k)
-        out, time = [(None, None, None, len(c)) for c in children], 0
-        for root in roots:
-            stack = [(root, 0, None)]
-            while stack:
-                node, depth, ein = stack.pop()
-                if ein is None:
-                    stack.append((node, depth, time))
-                    time += 1
-                    stack += [(c, depth + 1, None) for c in reversed(children[node])]
-                else:
-                    out[node] = (ein, time, depth, len(children[node]))
-                    time += 1
-        return out
-
     def run(batches):
         held = None
+
         def flush(table):
-            sent = table.column(at["sent_id"]).to_numpy()
-            pos, head = table.column(at["pos"]).to_numpy(), table.column(at["head_pos"]).to_pylist()
-            cuts = [0, *(np.flatnonzero(np.diff(sent)) + 1).tolist(), len(sent)]
-            rows = [r for a, b in zip(cuts, cuts[1:], strict=False) for r in clock(pos[a:b], head[a:b])]
-            more = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
+            sent, pos = table.column(at["sent_id"]).to_numpy(), table.column(at["pos"]).to_numpy()
+            head = table.column(at["head_pos"]).combine_chunks().fill_null(-1).to_numpy()
+            ein, eout, depth, children = clocks(sent, pos, head)
+            lost = depth < 0
+            more = [pa.array(ein, mask=lost), pa.array(eout, mask=lost), pa.array(depth, mask=lost), pa.array(children)]
             full = pa.table([*table.columns, *more], names=[*names, "ein", "eout", "depth", "n_children"])
             return full.combine_chunks().to_batches()
 

@@ -62,8 +62,9 @@ def document_corpus(spark: SparkSession, docs: DataFrame) -> Corpus:
     win = sents.select("start", "end", F.explode(F.expr("sequence(start, end, 4)")).alias("at")).select(F.col("at").alias("idx"), F.col("at").alias("start"), F.least(F.col("at") + 7, F.col("end")).alias("end"), F.when(F.expr("((at - start) div 4) % 2") == 0, "even").otherwise("odd").alias("k"))
     gap = sents.filter("n >= 6").select("idx", (F.col("start") + 3).alias("start"), (F.col("start") + 2).alias("end"), F.lit("pause").alias("type"))
     pair = sents.filter("n >= 2").select(F.col("idx").cast("string").alias("gid"), F.col("start").alias("first"), F.col("end").alias("last"), F.array(F.struct(F.col("start").alias("start"), F.col("start").alias("end")), F.struct(F.col("end").alias("start"), F.col("end").alias("end"))).alias("spans"), F.create_map(F.lit("type"), F.when(F.col("n") % 2 == 0, "even").otherwise("odd")).alias("props"))
+    size = tokens.count()
     tokens = annotated(tokens.withColumnsRenamed({"rid": "r_text"}).withColumn("r_s", F.col("sent_id")))
-    return Corpus.from_dataframes(tokens, {"text": text, "s": s, "node": node, "win": win, "gap": gap}, {"node": "nested", "win": "overlapping", "gap": "zerowidth"}, {"pair": pair}, multivalue=("tags",)).save(f"{path}/corpus")
+    return Corpus.from_dataframes(tokens, {"text": text, "s": s, "node": node, "win": win, "gap": gap}, {"node": "nested", "win": "overlapping", "gap": "zerowidth"}, {"pair": pair}, multivalue=("tags",), size=size).save(f"{path}/corpus")
 
 
 def conversation_corpus(spark: SparkSession, turns: DataFrame) -> Corpus:
@@ -77,8 +78,9 @@ def conversation_corpus(spark: SparkSession, turns: DataFrame) -> Corpus:
     tuid = F.concat_ws("-", F.col("conv_id").cast("string"), F.expr("turn div 2").cast("string"))
     s = spans.join(rows.select("rid", "role", tuid.alias("tuid")), "rid").select(F.col("rid").alias("idx"), "start", "end", "role", "tuid")
     text = spans.join(rows.select("rid", "conv_id"), "rid").groupBy("conv_id").agg(F.min("start").alias("start"), F.max("end").alias("end")).select(F.col("conv_id").alias("idx"), "start", "end", F.col("conv_id").cast("string").alias("id"))
+    size = tokens.count()
     tokens = annotated(tokens.withColumnsRenamed({"rid": "r_s"}))
-    return Corpus.from_dataframes(tokens, {"text": text, "s": s}, multivalue=("tags",)).save(f"{path}/corpus")
+    return Corpus.from_dataframes(tokens, {"text": text, "s": s}, multivalue=("tags",), size=size).save(f"{path}/corpus")
 
 
 def scratch(spark: SparkSession) -> str:

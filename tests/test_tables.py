@@ -1,9 +1,13 @@
 """Corpora out of plain tables whose keys are not dense or not small."""
 
+import random
+
 import duckdb
+import numpy as np
 import pytest
 
 from quillon import queries as q
+from quillon.corpus import clocks
 from quillon.sources.tables import corpus_of, document_corpus
 
 ALIGNED = ["aligned_pairs", "aligned_condition", "aligned_named"]
@@ -43,3 +47,43 @@ def test_sparse_and_null_ids_lose_no_token(spark):
     assert c.meta.size == 9 and c.check() == {"size": 0, "positions": 0, "heads": 0, "spans": 0}
     assert sorted(r.form for r in c.tokens.select("form").collect()) == list("abcdefghi")
     assert c.structs["text"].count() == 4 and c.structs["s"].count() == 5
+
+
+def _clock(pos, head):
+    """One sentence by walking its tree."""
+    place = {p: k for k, p in enumerate(pos)}
+    children = [[] for _ in pos]
+    roots = []
+    for k, h in enumerate(head):
+        (children[place[h]] if h in place and h != pos[k] else roots).append(k)
+    out, time = [(None, None, -1, len(c)) for c in children], 0
+
+    def walk(k, depth):
+        nonlocal time
+        start = time
+        time += 1
+        for c in children[k]:
+            walk(c, depth + 1)
+        out[k] = (start, time, depth, len(children[k]))
+        time += 1
+
+    for root in roots:
+        walk(root, 0)
+    return out
+
+
+def test_clocks_of_random_trees_cycles_and_forests():
+    r = random.Random(2)
+    sent, pos, head, want = [], [], [], []
+    for k in range(400):
+        n, base = r.randint(1, 25), 100 * k
+        p = sorted(r.sample(range(base, base + 60), n))
+        h = [r.choice([*p, -1, base + 77, p[0]]) if r.random() < 0.5 else p[j // 2] for j in range(n)]
+        sent += [k] * n
+        pos += p
+        head += h
+        want += _clock(p, h)
+    got = list(zip(*clocks(*map(np.array, (sent, pos, head))), strict=True))
+    for (a, b, d, c), (x, y, z, w) in zip(got, want, strict=True):
+        assert (d, c) == (z, w) and (d < 0 or (a, b) == (x, y))
+    assert all(len(x) == 0 for x in clocks(*[np.array([], np.int64)] * 3))
