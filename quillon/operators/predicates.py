@@ -7,7 +7,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..corpus import Corpus, CorpusError, value
+from ..corpus import Corpus, CorpusError, covered, value
 from ..functions.text import components, feature, fold
 from ..plans.ast import Bool, CountRel, Leaf, NVals, Rel
 
@@ -106,9 +106,15 @@ class Conditions:
             return df, test(c, leaf, self.corpus.attribute(name) in self.corpus.meta.multivalue)
         if name == "contr_form" and "contr" not in self.corpus.meta.structs:
             return df, F.lit(False)
-        df, c, many = self.region_values(df, name, "pos")
-        got = F.exists(c, lambda x: test(x, leaf, name in self.corpus.meta.multivalue)) if many else test(c, leaf, name in self.corpus.meta.multivalue)
-        return df, F.coalesce(got, F.lit(False))
+        found = self.corpus.region_attribute(name)
+        if found and self.corpus.mode(found[0]) != "flat":
+            # only the regions that meet it are laid over positions
+            out = self.fresh("ok")
+            rows = self.corpus.structs[found[0]].filter(test(value(found[1]), leaf, name in self.corpus.meta.multivalue))
+            there = covered(rows.select("start", "end")).select("pos").distinct().withColumn(out, F.lit(True))
+            return df.join(there, "pos", "left"), F.coalesce(F.col(out), F.lit(False))
+        df, c, _ = self.region_values(df, name, "pos")
+        return df, F.coalesce(test(c, leaf, name in self.corpus.meta.multivalue), F.lit(False))
 
     def region_values(self, df: DataFrame, name: str, at: str) -> tuple[DataFrame, Column, bool]:
         """The value of struct_attr at a position column: one (flat) or the array of all covering regions' (else)."""
