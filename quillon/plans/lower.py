@@ -8,6 +8,7 @@ Every join of a chain is an equi-join on positions, heads, sentences or region i
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from .ast import Filter, Fn, Leaf, Query, Region, Subtree, Token
 
 AT = ("at", "at_head", "at_sent", "at_ein", "at_eout")
 BUCKET = 64
+#: Positions that meet in one group where neighbours are looked for.
+STRETCH = 1 << 16
 
 
 @dataclass
@@ -47,18 +50,18 @@ class Lowering:
     # -------------------------------------------------------------- runs
 
     def runs(self, tokens: DataFrame) -> DataFrame:
-        """Maximal runs of positions (start, end): islands within documents, then runs that touch across documents."""
-        w = Window.partitionBy("doc_id").orderBy("pos")
-        island = tokens.select("pos", "doc_id").withColumn("g", F.col("pos") - F.row_number().over(w))
-        runs = island.groupBy("doc_id", "g").agg(F.min("pos").alias("start"), F.max("pos").alias("end")).select("start", "end")
-        after = runs.select((F.col("end") + 1).alias("start"), F.lit(1).alias("after"))
-        before = runs.select((F.col("start") - 1).alias("end"), F.lit(1).alias("before"))
-        marked = runs.join(after, "start", "left").join(before, "end", "left")
-        alone = marked.filter("after IS NULL AND before IS NULL").select("start", "end")
-        touching = marked.filter("after IS NOT NULL OR before IS NOT NULL").withColumn("head", F.when(F.col("after").isNull(), 1).otherwise(0))
-        chained = prefix_sums(touching, "start", "head", "seen", max(1, self.corpus.meta.size))
+        """Maximal runs of positions (start, end): islands within stretches of STRETCH positions; those that reach an edge of theirs, two a stretch at most, are joined with what goes on beyond."""
+        stretch = F.expr(f"pos div {STRETCH}")
+        w = Window.partitionBy("b").orderBy("pos")
+        island = tokens.select("pos", stretch.alias("b")).withColumn("g", F.col("pos") - F.row_number().over(w))
+        runs = island.groupBy("b", "g").agg(F.min("pos").alias("start"), F.max("pos").alias("end")).select("start", "end")
+        edge = (F.col("start") % STRETCH == 0) | (F.col("end") % STRETCH == STRETCH - 1)
+        edges = runs.filter(edge)
+        after = edges.select((F.col("end") + 1).alias("start"), F.lit(1).alias("after"))
+        headed = edges.join(after, "start", "left").withColumn("head", F.when(F.col("after").isNull(), 1).otherwise(0))
+        chained = prefix_sums(headed, "start", "head", "seen", max(1, self.corpus.meta.size))
         merged = chained.groupBy((F.col("seen") + F.col("head")).alias("g")).agg(F.min("start").alias("start"), F.max("end").alias("end")).select("start", "end")
-        return alone.unionByName(merged)
+        return runs.filter(~edge).unionByName(merged)
 
     def maximal(self, token: Token, chosen: DataFrame) -> DataFrame:
         """Single-token repetition: whole runs, those longer than `high` in tiles."""
@@ -88,6 +91,11 @@ class Lowering:
             df = self.maximal(token, self.conditions.select(token.cond))
             return Matches(df, {token.label: 0} if token.label else {}, 1)
         df, empty, k = None, True, 0
+        plain = list(takewhile(lambda x: isinstance(x, Token) and (x.low, x.high) == (1, 1) and x.edge == "", items))
+        if len(plain) > 1:
+            df, empty, k = self.adjacent(plain, flat), False, len(plain)
+            slots |= {x.label: i for i, x in enumerate(plain) if x.label}
+            items = items[k:]
         for item in items:
             if isinstance(item, Subtree):
                 if item.source not in slots:
@@ -115,6 +123,35 @@ class Lowering:
             raise CorpusError("a chain needs a token")
         return Matches(df, slots, k, {}, tuple(subtrees))
 
+    def adjacent(self, items: list[Token], within: str | None) -> DataFrame:
+        """Single tokens one after the other: tokens that meet any of the conditions shuffle once, however many there are.
+
+        They are dealt by stretches of positions; the first ones of a stretch go to the one before as well.
+        """
+        df, n = self.corpus.tokens, len(items)
+        flags = [f"__is{k}" for k in range(n)]
+        for item, flag in zip(items, flags, strict=True):
+            df, ok = self.conditions.apply(df, item.cond)
+            df = df.withColumn(flag, F.coalesce(ok, F.lit(False)))
+        w = F.col(f"r_{within}") if within else F.lit(None).cast("long")
+        df = df.filter(" OR ".join(flags)).select("pos", "head_pos", "sent_id", "ein", "eout", w.alias("w"), *flags)
+        own = F.expr(f"pos div {STRETCH}")
+        both = F.when((F.col("pos") % STRETCH < n - 1) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+        dealt = df.withColumn("b", F.explode(both))
+        order = Window.partitionBy("b").orderBy("pos")
+        for k in range(1, n):
+            last = ("head_pos", "sent_id", "ein", "eout") if k == n - 1 else ()
+            dealt = dealt.withColumn(f"__next{k}", F.lead(F.struct("pos", flags[k], "w", *last), k).over(order))
+        ok = (own == F.col("b")) & F.col(flags[0])
+        for k in range(1, n):
+            x = F.col(f"__next{k}")
+            ok &= (x["pos"] == F.col("pos") + k) & x[flags[k]]
+            if within:
+                ok &= x["w"] == F.col("w")
+        x = F.col(f"__next{n - 1}")
+        slots = [(F.col("pos") + k).alias(f"{p}{k}") for k in range(n) for p in "se"]
+        return dealt.filter(ok).select(*slots, x["pos"].alias("cur"), x["pos"].alias("at"), x["head_pos"].alias("at_head"), x["sent_id"].alias("at_sent"), x["ein"].alias("at_ein"), x["eout"].alias("at_eout"), x["w"].alias("mw"))
+
     def step(self, df: DataFrame, x: DataFrame, edge: str, s: str, e: str, flat: bool, k: int) -> DataFrame:
         tree = {">": "x.head_pos = m.at", "<": "x.s = m.at_head", ">>": "x.sent_id = m.at_sent AND m.at_ein < x.ein AND x.eout < m.at_eout", "<<": "x.sent_id = m.at_sent AND x.ein < m.at_ein AND m.at_eout < x.eout", "": "x.s = m.cur + 1"}
         on = tree[edge.lstrip("!")]

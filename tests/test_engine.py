@@ -161,3 +161,13 @@ def test_a_region_that_is_its_own_ancestor_is_refused(spark):
     s = Session(Corpus.from_dataframes(tokens, {"node": node}, {"node": "nested"}))
     with pytest.raises(CorpusError, match="own ancestor"):
         s.run("x:<node> y:<node> :: rcontains(x, y) = 1; size")
+
+
+@pytest.mark.parametrize("stretch", [2, 3, 5])
+def test_neighbours_across_stretches(session, monkeypatch, stretch):
+    queries = ("[] []", "[] [] []", "a:[] b:[] []{0,2} c:[]", '[upos="ADJ"]+', '[form!="dog"]+', '[upos="ADJ"]{1,2} [upos="NOUN"]', "[] [] within s", '[] [] > [upos="DET"]')
+    places = lambda text: sorted(tuple(r) for r in session.query(text).df.select("first", "last").collect())
+    want = [places(text) for text in queries]
+    assert want[0] == [(k, k + 1) for k in range(9)] and want[4] == [(0, 1), (3, 9)] and (7, 8) not in want[6]
+    monkeypatch.setattr("quillon.plans.lower.STRETCH", stretch)
+    assert [places(text) for text in queries] == want
