@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .corpus import Corpus, stored, value
+from .functions.text import numbered
 from .session import Session
-from .sources import conllu, jsonl, ptb, vrt
+from .sources import conllu, cwb_binary, jsonl, ptb, vrt
 from .sources.tables import corpus_of, scratch
 
 _read: dict[tuple, Corpus] = {}
@@ -113,6 +117,30 @@ def _bracket_files(spark: SparkSession, sf_dir: str) -> str:
     return written(docs, F.col("body"))
 
 
+def _binary_files(spark: SparkSession, sf_dir: str) -> str:
+    """word.corpus, word.lexicon and s.avx; the format has one file for each, so each is written by one task, batch by batch."""
+    c, path = corpus_of(spark, sf_dir), f"{scratch(spark)}/{uuid.uuid4().hex}"
+    words = numbered(c.tokens.select("lemma").distinct(), ["lemma"], "id", f"{path}-words")
+    ints = lambda b: np.column_stack([x.to_numpy() for x in b.columns]).astype("<i4").tobytes()
+
+    def put(rows: DataFrame, order: str, cols: list[str], name: str, encode: Callable[[pa.RecordBatch], bytes]) -> None:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            where, root = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+            where.create_dir(root, recursive=True)
+            with where.open_output_stream(f"{root}/{name}") as out:
+                for batch in batches:
+                    out.write(encode(batch))
+            yield pa.RecordBatch.from_pydict({"done": pa.array([True])})
+
+        rows.repartition(1).sortWithinPartitions(order).select(*cols).mapInArrow(run, "done boolean").collect()
+
+    put(c.tokens.select("pos", "lemma").join(words, "lemma"), "pos", ["id"], "word.corpus", ints)
+    put(words, "id", ["lemma"], "word.lexicon", lambda b: b"".join(x.encode() + b"\0" for x in b.column(0).to_pylist()))
+    put(c.structs["s"], "start", ["start", "end"], "s.avx", ints)
+    return path
+
+
+read_binary = once("binary", lambda spark, d: cwb_binary.read(spark, _binary_files(spark, d), ["word"], ["s"]))
 read_conllu = once("conllu", lambda spark, d: conllu.read(spark, _conllu_files(spark, d), pattern="*.txt"))
 read_split = once("conllu-split", lambda spark, d: conllu.read(spark, _conllu_files(spark, d), split_feats=True, pattern="*.txt"))
 read_vrt = once("vrt", lambda spark, d: vrt.read(spark, _vrt_files(spark, d), pattern="*.txt"))
@@ -195,5 +223,7 @@ def queries_with_sql(sql: Callable[..., str]) -> dict[str, tuple[Callable[[Spark
         "read_overlay": (_overlay, sql("SELECT CAST(count(*) AS BIGINT) AS size FROM t WHERE upos = 'ADJ' AND sent_n = 7")),
         "read_brackets": (asked(read_brackets, 'n:<node type="NP">; count by n.func', {"n.func": "func"}), sql("SELECT 'SBJ' AS func, CAST(count(*) AS BIGINT) AS count, 100.0::DOUBLE AS pct FROM sents")),
         "read_bracket_nodes": (regions(read_brackets, "node", "type"), sql("SELECT start, start + n - 1 AS \"end\", 'S' AS type FROM sents UNION ALL SELECT start, start + least(n, 2) - 1, 'NP' FROM sents")),
+        "read_binary": (asked(read_binary, "[] within s; count by form"), sql(share("lemma", "form"))),
+        "read_binary_regions": (regions(read_binary, "s"), sql("SELECT start, start + n - 1 AS \"end\" FROM sents")),
         "consistency": (_check, sql(f"SELECT 'sound' AS corpus, unnest(['size', 'positions', 'heads', 'spans']) AS rule, CAST(0 AS BIGINT) AS n UNION ALL SELECT 'broken', 'size', ({missing}) UNION ALL SELECT 'broken', 'positions', ({missing}) UNION ALL SELECT 'broken', 'heads', (SELECT CAST(count(*) AS BIGINT) FROM t WHERE head_pos % 1000 = 500 AND pos % 1000 <> 500) UNION ALL SELECT 'broken', 'spans', CAST(1 AS BIGINT)")),
     }

@@ -84,7 +84,7 @@ def read(spark: SparkSession, paths: str | list[str], pattern: str = "*.jsonl",
 
 def read_stream(spark: SparkSession, stream: BinaryIO, folder: str, **options) -> Corpus:
     """Events from an open stream such as standard input: copied block by block into a file of `folder`, which all executors must see."""
-    where, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+    where, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
     where.create_dir(root, recursive=True)
     with where.open_output_stream(f"{root}/stream.jsonl") as out:
         shutil.copyfileobj(stream, out, 1 << 20)
