@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
 
@@ -19,7 +20,7 @@ def pairs(text: str) -> dict[str, str]:
     return {} if text in ("_", "") else {k: v for k, _, v in (x.partition("=") for x in reversed(text.split("|"))) if k}
 
 
-def parse(text: str, b: Builder, split_feats: bool = False) -> None:
+def parse(source: Iterable[str], b: Builder, split_feats: bool = False) -> Iterator[None]:
     sent: dict[str, str] = {}
     context = "s"
     opened: dict[str, dict] = {}
@@ -56,11 +57,12 @@ def parse(text: str, b: Builder, split_feats: bool = False) -> None:
         sent = {}
         lines.clear()
 
-    for line in text.split("\n"):
+    for line in source:
         line = line.rstrip("\r")
         if not line.strip():
             if lines:
                 flush()
+                yield
             continue
         if line.startswith("#"):
             if m := _NEW.match(line):
@@ -105,4 +107,4 @@ def parse(text: str, b: Builder, split_feats: bool = False) -> None:
 
 
 def read(spark: SparkSession, paths: str | list[str], split_feats: bool = False, pattern: str = "*.conllu", **options) -> Corpus:
-    return assemble(read_files(spark, paths, lambda text, b: parse(text, b, split_feats), pattern), **options)
+    return assemble(read_files(spark, paths, lambda source, b: parse(source, b, split_feats), pattern), **options)

@@ -1,14 +1,18 @@
 """Corpora from event streams: what the CoNLL-U, VRT, bracket and JSONL readers have in common.
 
-A reader turns a file into rows in order; `Builder` numbers tokens and regions of one file from 0,
-and `assemble` adds each file's base to make one corpus. A file is one row of work, so files are
-read in parallel; positions over all files come from sums of their sizes in order of their paths.
+A reader turns the lines of a file into rows in order; `Builder` numbers tokens and regions of one
+file from 0, and `assemble` adds each file's base to make one corpus. Spark reads the splits of all
+files in parallel; the lines of a file then stream, in order, through one task, which hands on rows
+as sentences end, so a file may be larger than memory. Files are parsed in parallel; positions over
+all files come from sums of their sizes in order of their paths.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,12 +22,15 @@ from ..corpus import Corpus, CorpusError, stored
 
 SCHEMA = "path string, kind string, name string, n long, sent long, head long, start long, end long, attrs map<string,string>, spans array<struct<start:long,end:long>>"
 
+#: Tokens after which a task hands on rows.
+FLUSH = 10_000
+
 #: What headers declare of a whole corpus; different values of all files count, in the order of their first files.
 DECLARED = ("positional", "nested", "overlapping", "zerowidth", "multivalue", "kv_pipe", "default_within")
 
 
 class Builder:
-    """Tokens, sentences, regions and groups of one file, in file coordinates."""
+    """Tokens, sentences, regions and groups of one file, in file coordinates; `take` hands on what is complete."""
 
     def __init__(self):
         self.tokens: list[dict] = []
@@ -32,13 +39,14 @@ class Builder:
         self.regions: list[tuple[str, int, int, dict]] = []
         self.groups: list[tuple[str, str, list, dict]] = []
         self.open: list[tuple[str, int, dict]] = []
+        self.taken = dict.fromkeys(("token", "region", "group"), 0)
         self.sentence = 0
         self.begun = 0
         self.meta: dict = {}
 
     @property
     def size(self) -> int:
-        return len(self.tokens)
+        return self.taken["token"] + len(self.tokens)
 
     def token(self, attrs: dict[str, str], head: int | None = None) -> None:
         """head: a position in the file, or None."""
@@ -46,6 +54,10 @@ class Builder:
         self.heads.append(head)
         self.sents.append(self.sentence)
 
+    def set_head(self, n: int, head: int | None) -> None:
+        """The head of a token of the sentence that is being read."""
+        self.heads[n - self.taken["token"]] = head
+
     def end_sentence(self, attrs: dict[str, str] | None = None) -> None:
         if self.size > self.begun:
             self.regions.append(("s", self.begun, self.size - 1, attrs or {}))
@@ -71,32 +83,41 @@ class Builder:
         while self.open:
             self.end_region(self.open[-1][0])
 
-    def rows(self, path: str) -> Iterator[dict]:
-        none = {"spans": None, "start": None, "end": None, "sent": None, "head": None, "name": None}
-        for n, (attrs, head, sent) in enumerate(zip(self.tokens, self.heads, self.sents, strict=True)):
-            yield none | {"path": path, "kind": "token", "n": n, "sent": sent, "head": head, "attrs": attrs}
-        for n, (name, start, end, attrs) in enumerate(self.regions):
-            yield none | {"path": path, "kind": "region", "name": name, "n": n, "start": start, "end": end, "attrs": attrs}
-        for n, (name, gid, spans, props) in enumerate(self.groups):
-            yield none | {"path": path, "kind": "group", "name": name, "n": n, "attrs": props | {"__gid": gid}, "spans": [{"start": a, "end": b} for a, b in spans]}
-        if self.meta:
-            yield none | {"path": path, "kind": "meta", "n": 0, "attrs": {k: json.dumps(v) for k, v in self.meta.items()}}
+    def take(self, path: str, last: bool = False) -> list[dict]:
+        """Rows of what came since the last time; the header's declarations come last."""
+        none = {"path": path, "spans": None, "start": None, "end": None, "sent": None, "head": None, "name": None}
+        at = self.taken
+        rows = [none | {"kind": "token", "n": at["token"] + k, "sent": sent, "head": head, "attrs": attrs} for k, (attrs, head, sent) in enumerate(zip(self.tokens, self.heads, self.sents, strict=True))]
+        rows += [none | {"kind": "region", "name": name, "n": at["region"] + k, "start": start, "end": end, "attrs": attrs} for k, (name, start, end, attrs) in enumerate(self.regions)]
+        rows += [none | {"kind": "group", "name": name, "n": at["group"] + k, "attrs": props | {"__gid": gid}, "spans": [{"start": a, "end": b} for a, b in spans]} for k, (name, gid, spans, props) in enumerate(self.groups)]
+        if last and self.meta:
+            rows.append(none | {"kind": "meta", "n": 0, "attrs": {k: json.dumps(v) for k, v in self.meta.items()}})
+        self.taken = {"token": at["token"] + len(self.tokens), "region": at["region"] + len(self.regions), "group": at["group"] + len(self.groups)}
+        for held in (self.tokens, self.heads, self.sents, self.regions, self.groups):
+            held.clear()
+        return rows
+
 
+def read_files(spark: SparkSession, paths: str | list[str], parse: Callable[[Iterator[str], Builder], Iterator[None]], pattern: str = "*") -> DataFrame:
+    """Event rows of every file under the paths; `parse` gets a file's lines and a fresh builder, and yields wherever all that was read is complete."""
 
-def read_files(spark: SparkSession, paths: str | list[str], parse: Callable[[str, Builder], None], pattern: str = "*") -> DataFrame:
-    """Event rows of every file under the paths; `parse` gets a file's text and a fresh builder."""
+    def frame(rows: list[dict]) -> pd.DataFrame:
+        made = pd.DataFrame(rows, columns=["path", "kind", "name", "n", "sent", "head", "start", "end", "attrs", "spans"])
+        return made.astype({c: "Int64" for c in ("n", "sent", "head", "start", "end")})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                builder = Builder()
-                parse(bytes(content).decode("utf-8-sig"), builder)
-                builder.close()
-                frame = pd.DataFrame(list(builder.rows(path)), columns=["path", "kind", "name", "n", "sent", "head", "start", "end", "attrs", "spans"])
-                yield frame.astype({c: "Int64" for c in ("n", "sent", "head", "start", "end")})
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(paths)
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+        each = ((path, line) for batch in batches for path, line in zip(batch["path"], batch["value"], strict=True))
+        for path, lines in groupby(each, key=itemgetter(0)):
+            builder = Builder()
+            for _ in parse((line.removeprefix("\ufeff") for _, line in lines), builder):
+                if len(builder.tokens) >= FLUSH:
+                    yield frame(builder.take(path))
+            builder.close()
+            yield frame(builder.take(path, last=True))
+
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("lineSep", "\n").text(paths)
+    lines = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"), "value")
+    return lines.repartition("path").sortWithinPartitions("path", "split", "nth").select("path", "value").mapInPandas(run, SCHEMA)
 
 
 def assemble(rows: DataFrame, modes: dict[str, str] | None = None, multivalue: tuple = (), kv_pipe: tuple = ("feats",), default_within: str | None = None) -> Corpus:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import shutil
+from collections.abc import Iterable, Iterator
 from typing import BinaryIO
 
 from pyarrow import fs
@@ -19,7 +20,7 @@ def _texts(attrs: dict) -> dict[str, str]:
     return {k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in (attrs or {}).items() if v is not None}
 
 
-def parse(text: str, b: Builder) -> None:
+def parse(source: Iterable[str], b: Builder) -> Iterator[None]:
     names: list[str] = []
     groups: set[str] = set()
     split_feats, total = False, None
@@ -30,13 +31,13 @@ def parse(text: str, b: Builder) -> None:
     def sentence(attrs: dict | None = None) -> None:
         nonlocal began
         for n, ident in waiting:
-            b.heads[n] = ids.get(ident)
+            b.set_head(n, ids.get(ident))
         waiting.clear()
         ids.clear()
         b.end_sentence(_texts(attrs or {}))
         began = b.size
 
-    for raw in text.split("\n"):
+    for raw in source:
         if not raw.strip():
             continue
         e = json.loads(raw)
@@ -57,6 +58,7 @@ def parse(text: str, b: Builder) -> None:
             b.token(_texts(attrs), began + int(head) - 1 if head and "head_tok_id" not in e else None)
         elif kind == "sentence_end":
             sentence(e.get("attrs"))
+            yield
         elif kind == "region_start":
             b.start_region(e["struct"], _texts(e.get("attrs")))
         elif kind == "region_end":
@@ -71,6 +73,7 @@ def parse(text: str, b: Builder) -> None:
         elif kind == "region" and e["struct"] == "s":
             # the tokens since the last sentence are the sentence, whatever the coordinates say
             sentence(e.get("attrs"))
+            yield
         elif kind == "region":
             b.region(e["struct"], int(e["start_pos"]), int(e["end_pos"]), _texts(e.get("attrs")))
         else:

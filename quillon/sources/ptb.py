@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
 
@@ -13,10 +14,10 @@ _SCAN = re.compile(r"\(|\)|[^\s()]+")
 EMPTY = "-NONE-"
 
 
-def parse(text: str, b: Builder, attribute: str = "upos") -> None:
+def parse(source: Iterable[str], b: Builder, attribute: str = "upos") -> Iterator[None]:
     """(S (NP (DT the) (NN cat))): leaves are tokens, `attribute` their label; inner nodes are regions with type and, of NP-SBJ, func."""
     stack: list[list] = []
-    for tok in _SCAN.findall(text):
+    for tok in (tok for line in source for tok in _SCAN.findall(line)):
         if tok == "(":
             stack.append([None, b.size, []])
         elif tok != ")":
@@ -37,9 +38,10 @@ def parse(text: str, b: Builder, attribute: str = "upos") -> None:
                 b.region("node", start, b.size - 1, {"type": kind, **({"func": func} if func else {})})
             if not stack:
                 b.end_sentence()
+                yield
     if stack:
         raise CorpusError("a bracket is missing")
 
 
 def read(spark: SparkSession, paths: str | list[str], attribute: str = "upos", pattern: str = "*.{psd,mrg,ptb}", **options) -> Corpus:
-    return assemble(read_files(spark, paths, lambda text, b: parse(text, b, attribute), pattern), modes={"node": "nested"}, **options)
+    return assemble(read_files(spark, paths, lambda source, b: parse(source, b, attribute), pattern), modes={"node": "nested"}, **options)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import SparkSession
 
@@ -18,10 +19,10 @@ COLUMNS = {1: ("form",), 2: ("form", "lemma"), 3: ("form", "lemma", "upos")}
 WIDE = (None, "form", "lemma", "upos", "xpos", "feats", None, "deprel")
 
 
-def parse(text: str, b: Builder) -> None:
+def parse(source: Iterable[str], b: Builder) -> Iterator[None]:
     names: tuple | None = None
     sentences = False
-    for line in text.split("\n"):
+    for line in source:
         line = line.rstrip("\r")
         if not line.strip():
             continue
@@ -51,6 +52,7 @@ def parse(text: str, b: Builder) -> None:
         columns = [html.unescape(c) for c in line.split("\t")]
         use = names or COLUMNS.get(len(columns)) or (WIDE if len(columns) >= 8 else (None, "form", "lemma", "upos") if columns[0].isdigit() else ("form", "lemma", "upos", "xpos"))
         b.token({n: v for n, v in zip(use, columns, strict=False) if n})
+        yield
     if sentences and b.size > b.begun:
         b.end_sentence(getattr(b, "pending", {}))
 

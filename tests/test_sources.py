@@ -213,3 +213,25 @@ def test_events_from_a_stream(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr("sys.stdin", SimpleNamespace(buffer=io.BytesIO(text.encode())))
     main([f"{tmp_path}/c", '[upos="NOUN"] > [upos="DET"]; size', "--load", "-"])
     assert capsys.readouterr().out.strip() == "1"
+
+
+def test_a_file_of_many_splits_and_parts_is_read_in_order(spark, tmp_path):
+    lines, forms, texts, first = [], [], [], 0
+    for d in range(700):
+        lines += ["# newregion text", f"# text_id = t{d}"]
+        for k in range(d % 3 + 1):
+            lines += [f"# sent_id = {d}-{k}", *[f"{i}\tw{d}.{k}.{i}\tl\tX\t_\t_\t{i // 2}\tdep\t_\t_" for i in range(1, 12)], ""]
+            forms += [f"w{d}.{k}.{i}" for i in range(1, 12)]
+        texts.append((f"t{d}", first, len(forms) - 1))
+        first = len(forms)
+    (tmp_path / "a.conllu").write_text("\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        c = conllu.read(spark, str(tmp_path))
+        assert len(forms) > 15_000 and [r.form for r in c.tokens.orderBy("pos").select("form").collect()] == forms
+        assert [tuple(r) for r in c.structs["text"].orderBy("start").select("id", "start", "end").collect()] == texts
+        assert c.check() == {"size": 0, "positions": 0, "heads": 0, "spans": 0}
+        assert c.structs["s"].count() == len(forms) // 11
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
