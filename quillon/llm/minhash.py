@@ -11,14 +11,15 @@ probability 1 - (1 - s^ROWS)^BANDS: at 0.8 all but 1.3e-7 of links meet, at 0.85
 2. Every bucket of two or more classes tests each against the smallest one, its pivot: as many
    pairs as members. Pairs whose sizes forbid a link go first; the rest are confirmed on full sets.
 3. Components of these links. Buckets whose members are all in one component are done, as are pairs.
-4. In every other bucket, members of different components are still to be compared. Those of a
-   bucket of at most `BLOCK` members go to one task. Members of larger ones are split by what they
-   share: two sets of similarity t have a shingle in common among the |x| - ceil(t|x|) + 1 shingles
+4. In every other bucket, members of different components are still to be compared. Its largest
+   component is dealt in blocks; the others meet every block, and each other in pairs of blocks. A
+   task has one or two blocks, counts exact intersections by matrix products over shared shingles,
+   and returns only the links that join components. That holds for buckets of up to `BLOCKS` blocks,
+   so no set is sent more than BLOCKS times. Members of larger ones are split by what they share
+   first: two sets of similarity t have a shingle in common among the |x| - ceil(t|x|) + 1 shingles
    of each that are in the fewest sets, so members meet under those shingles alone (most occur in no
    other set and lead nowhere). A shingle with at most `FEW` members gives pairs, which are confirmed
-   on full sets; one with more deals its largest component in blocks, which the others meet, and each
-   other in pairs of blocks. A task has one or two blocks, counts exact intersections by matrix
-   products over shared shingles, and returns only the links that join components. Components again.
+   on full sets; one with more is dealt in blocks like a bucket. Components again.
 
 So buckets have no cap and no group is gathered whole. Members of one bucket that are unlike each
 other cost rows in proportion to their shingles. Only where more than FEW members share even their
@@ -47,6 +48,7 @@ WORDS = 5
 BANDS, ROWS = 40, 5
 BINS = BANDS * ROWS
 BLOCK = 512
+BLOCKS = 16
 FEW = 48
 _RNG = np.random.default_rng(10)
 _PLACE = _RNG.integers(1, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
@@ -230,12 +232,12 @@ def rare_postings(members: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return out
 
 
-def remaining_links(members: DataFrame, sets: DataFrame, percent: int, block: int, few: int = FEW) -> DataFrame:
+def remaining_links(members: DataFrame, sets: DataFrame, percent: int, block: int, few: int = FEW, blocks: int = BLOCKS) -> DataFrame:
     """Links between members of different components of a bucket. members: key, cid, n, component; with sets a written table."""
     main = open_buckets(members)
     met = attach_groups(members, main, "key", "members", members.count()).filter("main IS NOT NULL")
     met = materialize(met, "near-unsettled")
-    small, large = met.filter(F.col("members") <= block), met.filter(F.col("members") > block)
+    small, large = met.filter(F.col("members") <= blocks * block), met.filter(F.col("members") > blocks * block)
     found = block_groups(small, sets, percent, block)
     if large.limit(1).count():
         postings = rare_postings(large, sets, percent)

@@ -140,7 +140,7 @@ def test_one_bucket_of_many_unlinked_members(spark, members, few):
     table = spark.createDataFrame([(k, np.sort(x.astype(np.uint64)).tobytes()) for k, x in enumerate(sets)], schema)
     rows = spark.range(members).selectExpr("7L AS key", "id AS cid", "50L AS n", "id AS component")
     groups = {k: {k} for k in range(members)}
-    for x in minhash.remaining_links(rows, table, 80, 512, few).collect():
+    for x in minhash.remaining_links(rows, table, 80, 512, few, blocks=1).collect():
         both = groups[x.a] | groups[x.b]
         groups |= dict.fromkeys(both, both)
     assert {frozenset(g) for g in groups.values() if len(g) > 1} == {frozenset(range(k, k + 5)) for k in range(0, members, 500)}
