@@ -81,7 +81,7 @@ class Encoder:
         self.ends = kind == "word"
         white = r"\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
         tokens = "|".join(re.escape(t) for t in self.added) or "[^\\s\\S]"
-        self.odd = tokens if kind == "word" else rf"{tokens}|[{white}]|\s (?:\s|$)|  "
+        self.odd = f"(?i){tokens}" if kind == "word" else rf"{tokens}|[{white}]|\s (?:\s|$)|  "
         self.most, self.memo, self.held = memo, {"": b""}, 0
 
     def _single(self, units: list[str]) -> None:
@@ -155,6 +155,9 @@ class Encoder:
         texts = pc.fill_null(texts, "")
         odd = np.flatnonzero(pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False))
         even = pc.replace_with_mask(texts, pa.array(np.isin(np.arange(len(texts)), odd)), "") if len(odd) else texts
+        if self.ends:
+            # these part from the letters before them, and white space is dropped; upper case is folded anyway
+            even = pc.replace_substring_regex(pc.ascii_lower(even), r"([a-z])([.,;:!?])(\s|$)", r"\1 \2\3")
         lists = pc.ascii_split_whitespace(even) if self.ends else pc.split_pattern(even, " ")
         ends, pieces = lists.offsets.to_numpy(), lists.values
         coded = pieces.dictionary_encode()
