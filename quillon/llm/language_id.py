@@ -227,7 +227,7 @@ class Likeness:
         """Of each text; 0 without a byte that counts."""
         k = np.maximum(np.searchsorted(self.SIZES, count, side="right") - 1, 0)
         mean, sd = (pooled * self.mean.T[k]).sum(axis=1), (pooled * self.sd.T[k]).sum(axis=1)
-        n = np.maximum(count, 1)
+        n, sd = np.maximum(count, 1), np.where(count > 0, sd, 1)
         return np.where(count > 0, (total / n - mean) / (sd * np.sqrt(np.maximum(self.SIZES[0] / n, 1))), 0.0)
 
 
