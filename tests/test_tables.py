@@ -1,5 +1,6 @@
 """Corpora out of plain tables whose keys are not dense or not small."""
 
+import pathlib
 import random
 
 import duckdb
@@ -7,8 +8,8 @@ import numpy as np
 import pytest
 
 from quillon import queries as q
-from quillon.corpus import clocks
-from quillon.sources.tables import corpus_of, document_corpus
+from quillon.corpus import clocks, with_group_columns, with_parents
+from quillon.sources.tables import corpus_of, document_corpus, scratch
 
 ALIGNED = ["aligned_pairs", "aligned_condition", "aligned_named"]
 
@@ -87,3 +88,36 @@ def test_clocks_of_random_trees_cycles_and_forests():
     for (a, b, d, c), (x, y, z, w) in zip(got, want, strict=True):
         assert (d, c) == (z, w) and (d < 0 or (a, b) == (x, y))
     assert all(len(x) == 0 for x in clocks(*[np.array([], np.int64)] * 3))
+
+
+def _files(path):
+    return [p for p in pathlib.Path(path).rglob("*.parquet") if p.is_file()]
+
+
+def test_ingest_leaves_a_small_corpus_and_nothing_beside_it(spark):
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(300)]
+    docs = spark.createDataFrame([(k, "\n".join(" ".join(r.choices(words, k=r.randint(1, 30))) for _ in range(40)), "en", "x") for k in range(60)], "doc_id long, text string, lang string, source string")
+    at = pathlib.Path(scratch(spark))
+    before = set(at.iterdir()) if at.exists() else set()
+    c = document_corpus(spark, docs)
+    (made,) = set(at.iterdir()) - before
+    assert [p.name for p in made.iterdir()] == ["corpus"]
+    # as plain numbers, positions, heads and the like alone take many times that
+    size = sum(p.stat().st_size for p in _files(made / "corpus/tokens"))
+    assert size < 9 * c.meta.size, size / c.meta.size
+    own, general = (sorted((x.idx, x.parent_idx or -1) for x in df.select("idx", "parent_idx").collect()) for df in (c.structs["node"], with_parents(c.structs["node"].drop("parent_idx"))))
+    assert own == general
+    pair = with_group_columns(c.tokens.drop("pair_gid", "pair_type"), "pair", c.groups["pair"])
+    assert pair.select(*c.tokens.columns).exceptAll(c.tokens).count() == 0
+
+
+def test_tokens_of_one_text_keep_their_places_over_many_batches(spark):
+    text = "\n".join("a\tb  c." if k % 2 else "İX É,\r" for k in range(9000))
+    c = document_corpus(spark, spark.createDataFrame([(1, text, "en", "x"), (2, "., |", "en", "x")], "doc_id long, text string, lang string, source string"))
+    assert c.check() == {"size": 0, "positions": 0, "heads": 0, "spans": 0} and c.meta.size == 4500 * 5 + 2
+    got = c.tokens.orderBy("pos").select("sent_id", "form", "lemma", "upos").collect()
+    # of a form that ends in \r the dot or comma before stays, as in the SQL
+    assert [tuple(x)[1:] for x in got[:5]] == [("İX", "İx", "DET"), ("É,\r", "É,\r", "ADP"), ("a", "a", "DET"), ("b", "b", "DET"), ("c.", "c", "DET")]
+    assert [tuple(x) for x in got[-2:]] == [(9000, ".,", ".,", "PUNCT"), (9000, "|", "|", "PUNCT")]
+    assert [x.sent_id for x in got[:-2]] == [k for k in range(9000) for _ in range(3 if k % 2 else 2)]
