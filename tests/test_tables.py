@@ -121,3 +121,16 @@ def test_tokens_of_one_text_keep_their_places_over_many_batches(spark):
     assert [tuple(x)[1:] for x in got[:5]] == [("İX", "İx", "DET"), ("É,\r", "É,\r", "ADP"), ("a", "a", "DET"), ("b", "b", "DET"), ("c.", "c", "DET")]
     assert [tuple(x) for x in got[-2:]] == [(9000, ".,", ".,", "PUNCT"), (9000, "|", "|", "PUNCT")]
     assert [x.sent_id for x in got[:-2]] == [k for k in range(9000) for _ in range(3 if k % 2 else 2)]
+
+
+def test_small_files_of_many_rows_are_not_broadcast_unseen(spark, tmp_path):
+    r = random.Random(4)
+    spark.createDataFrame([(r.getrandbits(40), 2 * (k % 2), "user" if k % 2 else "assistant", "the of") for k in range(30000)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        c = corpus_of(spark, str(tmp_path), "conversations")
+        s = c.structs["s"].select("idx", "tuid")
+        plan = c.tokens.join(s, c.tokens["r_s"] == s["idx"])._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" not in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
