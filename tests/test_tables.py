@@ -6,9 +6,10 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillon import queries as q
-from quillon.corpus import clocks, with_group_columns, with_parents
+from quillon.corpus import Corpus, clocks, with_group_columns, with_parents, with_trees
 from quillon.sources.tables import corpus_of, document_corpus, scratch
 
 ALIGNED = ["aligned_pairs", "aligned_condition", "aligned_named"]
@@ -134,3 +135,24 @@ def test_small_files_of_many_rows_are_not_broadcast_unseen(spark, tmp_path):
         assert "BroadcastHashJoin" not in plan
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_what_follows_by_rule_takes_no_room_and_is_the_same(spark, tmp_path):
+    r = random.Random(5)
+    words = [f"{'tax'[: k % 4]}W{k}{'.,' if k % 3 == 0 else ''}" for k in range(300)]
+    lengths = [*range(1, 140), 255, 256, 257, 1023, 1024, 1025]
+    docs = spark.createDataFrame([(k, " \n\t\n".join(" ".join(r.choices(words, k=n)) for n in lengths), "en", "x") for k in range(5)], "doc_id long, text string, lang string, source string")
+    at = pathlib.Path(scratch(spark))
+    before = set(at.iterdir()) if at.exists() else set()
+    c = document_corpus(spark, docs)
+    (made,) = set(at.iterdir()) - before
+    size = sum(p.stat().st_size for p in _files(made / "corpus/tokens"))
+    assert c.meta.size == 5 * sum(lengths) and size < 4 * c.meta.size, size / c.meta.size
+    tree = ["pos", "sent_id", "head_pos", "ein", "eout", "depth", "n_children"]
+    walked = with_trees(c.tokens.select("pos", "sent_id", "head_pos"))
+    assert c.tokens.select(tree).exceptAll(walked.select(tree)).count() == 0 == walked.select(tree).exceptAll(c.tokens.select(tree)).count()
+    again = c.save(str(tmp_path / "again"))
+    assert again.tokens.columns == c.tokens.columns and again.meta == c.meta and again.tokens.exceptAll(c.tokens).count() == 0
+    # what was changed is stored as it is
+    other = Corpus(c.tokens.withColumn("upos", F.lit("X")), c.structs, c.meta, c.groups).save(str(tmp_path / "other"))
+    assert other.tokens.filter("upos = 'X'").count() == c.meta.size and not other.meta.rules
