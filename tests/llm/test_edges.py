@@ -119,3 +119,19 @@ def test_the_context_checkpoint_folder_is_used():
     assert shared_dir(session({}, "hdfs://c", "yarn")) == "hdfs://c"
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared_dir(session({}, None, "yarn"))
+
+
+def test_tables_between_the_passes_of_operator_8_are_compact(spark):
+    """Disk counts while it runs: its texts lie beside the fragments of them."""
+    import pathlib
+    import random
+
+    from pyspark.sql import functions as F
+
+    r = random.Random(8)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(3000)]
+    docs = spark.createDataFrame([(k, " ".join(r.choices(words, k=600))) for k in range(300)], "doc_id long, text string")
+    found = suffix_dedup.Repeats(docs)
+    there = sum(p.stat().st_size for p in pathlib.Path(found.unique.scratch_path.removeprefix("file:")).rglob("*.parquet"))
+    size = found.unique.agg(F.sum(F.octet_length("text"))).first()[0]
+    assert found.unique.count() == 300 and there < 0.5 * size, there / size
