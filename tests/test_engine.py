@@ -173,3 +173,23 @@ def test_neighbours_across_stretches(session, monkeypatch, stretch):
     assert want[0] == [(k, k + 1) for k in range(9)] and want[4] == [(0, 1), (3, 9)] and (7, 8) not in want[6]
     monkeypatch.setattr("quillon.plans.lower.STRETCH", stretch)
     assert [places(text) for text in queries] == want
+
+
+@pytest.mark.parametrize("rel", ["ancestor", "descendant", "parent", "sibling"])
+def test_relations_look_only_at_tokens_that_meet_the_rest(session, rel):
+    """Of `upos = "NOUN" & ancestor[...]` no other token's ancestors are sought, whatever the order of the parts."""
+    from quillon.operators.predicates import Conditions
+    from quillon.plans.parser import parse
+
+    seen = []
+
+    class Counting(Conditions):
+        def related(self, rel, cond, t):
+            seen.append(t.count())
+            return super().related(rel, cond, t)
+
+    for text in (f'[upos="NOUN" & {rel}[upos="VERB"]]', f'[{rel}[upos="VERB"] & upos="NOUN"]', f'[upos="NOUN" & (form="x" | not {rel}[upos="VERB"])]'):
+        (item,) = parse(text)[0].query.items
+        rows = Counting(session.corpus).select(item.cond)
+        assert {r.pos for r in rows.collect()} == {r.s0 for r in session.query(text).df.collect()} <= {2, 7, 8}
+    assert seen == [3, 3, 3]
