@@ -193,3 +193,19 @@ def test_relations_look_only_at_tokens_that_meet_the_rest(session, rel):
         rows = Counting(session.corpus).select(item.cond)
         assert {r.pos for r in rows.collect()} == {r.s0 for r in session.query(text).df.collect()} <= {2, 7, 8}
     assert seen == [3, 3, 3]
+
+
+def test_any_tokens_between_are_not_joined(session, monkeypatch):
+    """Of `a []{m,n} b` only a and b are looked up; what lies between follows from dense positions."""
+    from quillon.plans.lower import Lowering
+
+    asked, spans = [], Lowering.spans
+    monkeypatch.setattr(Lowering, "spans", lambda self, token, *rest: asked.append(token.cond) or spans(self, token, *rest))
+    tokens = {r.pos: r.upos for r in session.corpus.tokens.select("pos", "upos").collect()}
+    for low, high in ((0, 2), (1, 4), (4, 5)):
+        m = session.query(f'a:[upos="NOUN"] []{{{low},{high}}} b:[upos="NOUN"]')
+        want = sorted((a, b) for a in tokens for b in tokens if tokens[a] == tokens[b] == "NOUN" and low <= b - a - 1 <= high)
+        assert want and sorted((r["first"], r["last"]) for r in m.df.select("first", "last").collect()) == want
+    ends = session.query('[upos="NOUN"] []{1,4}').df.select("first", "last").collect()
+    assert sorted(tuple(r) for r in ends) == sorted((a, a + n) for a in tokens if tokens[a] == "NOUN" for n in range(1, 5) if a + n in tokens)
+    assert asked and None not in asked
