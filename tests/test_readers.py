@@ -1,9 +1,10 @@
 import gzip
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
-from quillon.sources import conllu, jsonl, ptb, vrt
+from quillon.sources import conllu, cwb_binary, jsonl, ptb, vrt
 from quillon.sources.events import Builder
 from tests.test_sources import CONLLU
 
@@ -54,3 +55,18 @@ def test_regions_over_tokens_read_before_or_after(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text("\n".join(['{"type": "region", "struct": "q", "start_pos": 1, "end_pos": 2, "attrs": {"k": "v"}}', *['{"type": "token", "form": "a"}'] * 4]))
     c = jsonl.read(spark, str(tmp_path))
     assert c.mode("q") == "flat" and sorted(r.pos for r in c.tokens.filter("r_q IS NOT NULL").collect()) == [1, 2]
+
+
+def test_a_binary_file_is_read_in_chunks(spark, tmp_path, monkeypatch, capsys):
+    """No row holds the whole file, and chunks that end within it are numbered on."""
+    monkeypatch.setattr(cwb_binary, "CHUNK", 3)
+    ids = np.arange(100, dtype="<i4") * 7
+    (tmp_path / "word.corpus").write_bytes(ids.tobytes())
+    (tmp_path / "empty.corpus").write_bytes(b"")
+    for path in (f"{tmp_path}/word.corpus", f"file://{tmp_path}/word.corpus"):
+        flat = cwb_binary._words(spark, path, "<i4", "pos long, id long", 1)
+        assert "content" not in plan(flat, capsys)
+        assert sorted(tuple(r) for r in flat.collect()) == [(k, 7 * k) for k in range(100)]
+    pairs = cwb_binary._words(spark, f"{tmp_path}/word.corpus", "<i4", "idx long, start long, end long", 2)
+    assert sorted(tuple(r) for r in pairs.collect()) == [(k, 14 * k, 14 * k + 7) for k in range(50)]
+    assert cwb_binary._words(spark, f"{tmp_path}/empty.corpus", "<i4", "pos long, id long", 1).count() == 0
